@@ -56,10 +56,14 @@ def _window_min(h: np.ndarray, size: int) -> np.ndarray:
 
 
 def segments(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH, piece: int = PIECE):
-    """(document, key, start, length) of the segments of documents laid end to end."""
+    """(document, key, start, length, times) of the segments of documents laid end to end.
+
+    times: how often the key's piece stands in the segment; in periodic text a segment can repeat its own windows.
+    """
     if len(raw) < width:
-        return (np.zeros(0, np.int64),) * 4
-    key = _window_min(_hash_pieces(raw, piece), width - piece + 1).view(np.int64)
+        return (np.zeros(0, np.int64),) * 5
+    pieces = _hash_pieces(raw, piece).view(np.int64)
+    key = _window_min(pieces.view(np.uint64), width - piece + 1).view(np.int64)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     valid = doc[: len(key)] == doc[width - 1 :]
     new = np.ones(len(key), bool)
@@ -68,7 +72,12 @@ def segments(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH, piece: in
     last = np.concatenate([first[1:], [len(key)]]) - 1
     ok = valid[first]
     first, last = first[ok], last[ok]
-    return doc[first], key[first], first - offsets[doc[first]], last - first + width
+    if not len(first):
+        return (np.zeros(0, np.int64),) * 5
+    sizes = last - first + width - piece + 1
+    equal = pieces[common.ranges(first, sizes)] == np.repeat(key[first], sizes)
+    times = np.add.reduceat(equal, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return doc[first], key[first], first - offsets[doc[first]], last - first + width, times
 
 
 def _columns(text: np.ndarray, at: np.ndarray, depth: int) -> list[np.ndarray]:
@@ -179,13 +188,13 @@ def find(docs: DataFrame, width: int = WIDTH, piece: int = PIECE, block_bytes: i
         for batch in batches:
             for part in common.slices(batch, "text", 1 << 20):
                 raw, offsets = common.byte_view(common.text_or_empty(part.column(2)))
-                doc, key, start, length = segments(raw, offsets, width, piece)
+                doc, key, start, length, times = segments(raw, offsets, width, piece)
                 take = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([pa.array(key), part.column(0).take(take), part.column(1).take(take), pa.array(start), pa.array(length)], ["key", "id", "h", "start", "length"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), part.column(0).take(take), part.column(1).take(take), pa.array(start), pa.array(length), pa.array(times)], ["key", "id", "h", "start", "length", "times"])
 
-    segs = base.select("id", "h", "text").mapInArrow(cut, "key long, id long, h long, start long, length long")
+    segs = base.select("id", "h", "text").mapInArrow(cut, "key long, id long, h long, start long, length long, times long")
     segs = common.stored(segs, "segments")
-    shared = segs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    shared = segs.groupBy("key").agg(F.sum("times").alias("n")).where("n > 1").select("key")
     by_doc = segs.join(shared, "key", "left_semi").distinct().groupBy("id", "h").agg(F.collect_list(F.struct("key", "start", "length")).alias("cuts"))
 
     def load(batches):
