@@ -16,11 +16,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from marlstone.llm import common
 
-WIDTH, PIECE = 100, 50
+WIDTH, PIECE = 100, 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -176,13 +177,54 @@ def repeated(parts: list[bytes], rank: np.ndarray, starts: np.ndarray, width: in
 
 
 _SPAN = "struct<a:long,b:long>"
+_PLACE = "key long, id long, h int, start int, length int, times int"
+
+
+def _shared(batches):
+    """Rows come sorted by key: keep those whose key's piece stands in two places or more."""
+
+    def keep(table: pa.Table):
+        key = table.column("key").to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
+        total = np.add.reduceat(table.column("times").to_numpy().astype(np.int64), cuts)
+        rows = np.repeat(total > 1, np.diff(np.concatenate([cuts, [len(key)]])))
+        return table.filter(pa.array(rows)).to_batches()
+
+    # At a batch's end only the last key is open: its first row waits until it is clear whether others follow.
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        key = table.column("key").to_numpy()
+        last = int(np.searchsorted(key, key[-1]))
+        if last:
+            yield from keep(table.slice(0, last))
+        tail = table.slice(last)
+        times = tail.column("times").to_numpy().astype(np.int32)
+        if int(times.sum()) > 1:
+            # Shared already: all but one row go out now, the one that waits carries the mark.
+            marked = tail.set_column(tail.schema.get_field_index("times"), "times", pa.array(np.full(len(times), 2, np.int32)))
+            yield from marked.slice(1).to_batches()
+            tail = marked.slice(0, 1)
+        held = tail.combine_chunks()
+    if held is not None:
+        yield from keep(held)
 
 
 def find(docs: DataFrame, width: int = WIDTH, piece: int = PIECE, block_bytes: int = 2 << 20) -> DataFrame:
-    """doc_id, text (null: empty) and merged byte spans to remove, for every row."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    # The place of a document: (null first, doc_id, text) as a name that sorts and joins.
-    base = base.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("h"), "doc_id", "text")
+    """doc_id, text (null: empty) and merged byte spans to remove, for every row.
+
+    All joins with the texts are on (id, h), the place of a document, so that they share one shuffle of the texts. A text
+    that also stands in an earlier document goes whole and takes no further part.
+    """
+    none = -(1 << 63)
+    text = F.coalesce("text", F.lit(""))
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(none)).alias("id"), F.hash(text).alias("h"), text.alias("text"))
+    first = base.select("id", "h", F.unhex(F.sha2("text", 256)).alias("digest")).groupBy("digest").agg(F.min("id").alias("id"), F.min("h").alias("h"))
+    first = common.stored(first.select("id", "h").distinct(), "first")
 
     def cut(batches):
         for batch in batches:
@@ -190,53 +232,64 @@ def find(docs: DataFrame, width: int = WIDTH, piece: int = PIECE, block_bytes: i
                 raw, offsets = common.byte_view(common.text_or_empty(part.column(2)))
                 doc, key, start, length, times = segments(raw, offsets, width, piece)
                 take = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([pa.array(key), part.column(0).take(take), part.column(1).take(take), pa.array(start), pa.array(length), pa.array(times)], ["key", "id", "h", "start", "length", "times"])
+                small = [pa.array(x.astype(np.int32)) for x in (start, length, np.minimum(times, 2))]
+                yield pa.RecordBatch.from_arrays([pa.array(key), part.column(0).take(take), part.column(1).take(take), *small], ["key", "id", "h", "start", "length", "times"])
 
-    segs = base.select("id", "h", "text").mapInArrow(cut, "key long, id long, h long, start long, length long, times long")
-    segs = common.stored(segs, "segments")
-    shared = segs.groupBy("key").agg(F.sum("times").alias("n")).where("n > 1").select("key")
-    by_doc = segs.join(shared, "key", "left_semi").distinct().groupBy("id", "h").agg(F.collect_list(F.struct("key", "start", "length")).alias("cuts"))
+    segs = base.join(first, ["id", "h"]).select("id", "h", "text").mapInArrow(cut, _PLACE)
+    shared = segs.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, _PLACE)
+    by_doc = shared.groupBy("id", "h").agg(F.collect_list(F.struct("key", "start", "length")).alias("cuts"))
 
     def load(batches):
         for batch in batches:
-            for part in common.slices(batch, "text", 1 << 20):
-                rows = {"key": [], "id": [], "h": [], "start": [], "part": []}
-                for i, h, text, cuts in zip(*(c.to_pylist() for c in part.columns)):
-                    raw = text.encode("utf-8", "surrogatepass")
-                    for c in cuts:
-                        rows["key"].append(c["key"])
-                        rows["id"].append(i)
-                        rows["h"].append(h)
-                        rows["start"].append(c["start"])
-                        rows["part"].append(raw[c["start"] : c["start"] + c["length"]])
-                yield pa.RecordBatch.from_pydict(rows, pa.schema([("key", pa.int64()), ("id", pa.int64()), ("h", pa.int64()), ("start", pa.int64()), ("part", pa.binary())]))
+            for part in common.slices(batch, "text", 1 << 18):
+                raw, offsets = common.byte_view(common.text_or_empty(part.column(2)))
+                lists = part.column(3)
+                cuts, doc = lists.flatten(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                start = cuts.field("start").to_numpy(zero_copy_only=False).astype(np.int64)
+                length = cuts.field("length").to_numpy(zero_copy_only=False).astype(np.int64)
+                data = np.ascontiguousarray(raw[common.ranges(offsets[doc] + start, length)])
+                ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+                parts = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
+                take = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([cuts.field("key"), part.column(0).take(take), part.column(1).take(take), cuts.field("start"), parts], ["key", "id", "h", "start", "part"])
 
     def solve(batches):
-        def run(rows):
-            ids, hs = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+        def run(table: pa.Table):
+            ids, hs, starts = (table.column(c).to_numpy().astype(np.int64) for c in ("id", "h", "start"))
             order = np.lexsort((hs, ids))
-            rank = np.empty(len(rows), np.int64)
+            rank = np.empty(len(ids), np.int64)
             rank[order] = np.concatenate([[0], np.cumsum((np.diff(ids[order]) != 0) | (np.diff(hs[order]) != 0))])
-            starts = np.array([r[3] for r in rows], np.int64)
-            part, a, b = repeated([r[4] for r in rows], rank, starts, width)
-            return pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(hs[part]), pa.array(starts[part] + a), pa.array(starts[part] + b)], ["id", "h", "a", "b"])
+            part, a, b = repeated(table.column("part").to_pylist(), rank, starts, width)
+            return pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(hs[part].astype(np.int32)), pa.array(starts[part] + a), pa.array(starts[part] + b)], ["id", "h", "a", "b"])
 
-        held, size = [], 0
+        held: list[pa.Table] = []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and row[0] != held[-1][0] and size >= block_bytes:
-                    yield run(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[4])
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held.append(table)
+            if sum(t.nbytes for t in held) < block_bytes:
+                continue
+            table = pa.concat_tables(held)
+            key = table.column("key").to_numpy()
+            last = int(np.searchsorted(key, key[-1]))
+            if last:
+                yield run(table.slice(0, last))
+            held = [table.slice(last)]
         if held:
-            yield run(held)
+            yield run(pa.concat_tables(held))
 
-    unique = base.select("id", "h", "text").dropDuplicates(["id", "h"])
-    loaded = unique.join(by_doc, ["id", "h"]).select("id", "h", "text", "cuts").mapInArrow(load, "key long, id long, h long, start long, part binary")
-    spans = loaded.repartition("key").sortWithinPartitions("key").mapInArrow(solve, "id long, h long, a long, b long")
+    loaded = base.join(by_doc, ["id", "h"]).select("id", "h", "text", "cuts").mapInArrow(load, "key long, id long, h int, start int, part binary")
+    spans = loaded.repartition("key").sortWithinPartitions("key").mapInArrow(solve, "id long, h int, a long, b long")
     merged = spans.groupBy("id", "h").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
-    return base.join(merged, ["id", "h"], "left").select("doc_id", "text", F.coalesce("spans", F.expr(f"cast(array() as array<{_SPAN}>)")).alias("spans"))
+    known = first.join(merged, ["id", "h"], "left").select("id", "h", "spans", F.lit(True).alias("first"))
+    size = F.octet_length("text").cast("long")
+    copy = F.col("first").isNull() & (size >= width)
+    return base.join(known, ["id", "h"], "left").select(
+        F.nullif("id", F.lit(none)).alias("doc_id"),
+        "text",
+        F.when(copy, F.array(F.struct(F.lit(0).cast("long").alias("a"), size.alias("b")))).otherwise(F.coalesce("spans", F.expr(f"cast(array() as array<{_SPAN}>)"))).alias("spans"),
+    )
 
 
 def kept_bytes(text: str, spans: list[dict]) -> tuple[bytes, int, int]:
