@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.operators import conversations, memory, profile, relevance, rollups
+from marlstone.operators import arrays, conversations, joins, memory, profile, relevance, rollups, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for module in (rollups, profile, conversations, relevance, memory):
+for module in (rollups, profile, conversations, relevance, memory, text, arrays, joins):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)
