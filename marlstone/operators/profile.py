@@ -18,9 +18,8 @@ def field_profile(spark, sf_dir):
 def outlier_rows(spark, sf_dir):
     """Rows more than two deviations from the mean of their type."""
     x = F.col("value").cast("double")
-    w = Window.partitionBy("event_type")
     stats = read(spark, sf_dir, "events").groupBy("event_type").agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("deviation"))
-    return read(spark, sf_dir, "events").join(F.broadcast(stats), "event_type").where(F.abs(x - F.col("mean")) > 2 * F.col("deviation")).select("event_id", "event_type")
+    return read(spark, sf_dir, "events").join(stats, "event_type").where(F.abs(x - F.col("mean")) > 2 * F.col("deviation")).select("event_id", "event_type")
 
 
 def monotone_fields(spark, sf_dir):
