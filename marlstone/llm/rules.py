@@ -1,8 +1,9 @@
 """Text features and a learned decision list, with built-in functions only.
 
-features() computes whole-text statistics. learn() counts labelled rows in cells (binned features, fold, label) with one
-aggregation, then grows conjunctions of thresholds by sequential covering on the growing fold and prunes each on the
-other; the list becomes one ordered conditional expression. Labelled rows are bounded by `fit_rows`, taken in the order
+features() computes whole-text statistics. learn() counts labelled rows in cells (features, fold) with one aggregation,
+then grows conjunctions of thresholds by sequential covering on the growing fold and prunes each on the other. Every
+middle between neighbouring values of a feature is a candidate threshold, however rare the bad rows are. The list
+becomes one ordered conditional expression. Labelled rows are bounded by `fit_rows`, taken in the order
 of a hash of doc_id.
 
 Null and wordless texts have all counts 0. Null labels and null doc_ids are not learned from; without both label values
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 FEATURES = ("n_words", "word_len", "symbol_share", "dup_line_share", "repeat_share")
@@ -73,60 +75,73 @@ def features(docs: DataFrame) -> DataFrame:
 Condition = tuple[str, bool, float]
 
 
-def _meets(cell, conditions) -> bool:
-    return all((cell[0][f] >= k) == up for f, up, k in conditions)
-
-
-def _count(cells, conditions, fold) -> tuple[int, int]:
-    hit = [c for c in cells if c[1] == fold and _meets(c, conditions)]
-    return sum(c[2] for c in hit), sum(c[3] for c in hit)
+def _meets(values: np.ndarray, conditions: list[Condition]) -> np.ndarray:
+    out = np.ones(len(values), bool)
+    for f, up, threshold in conditions:
+        x = values[:, FEATURES.index(f)]
+        out &= (x >= threshold) if up else (x < threshold)
+    return out
+
+
+def _best(values: np.ndarray, bad: np.ndarray, good: np.ndarray, min_cover: int) -> Condition | None:
+    """The condition of most gain (FOIL) among all thresholds between distinct values of a feature."""
+    all_bad, all_good = int(bad.sum()), int(good.sum())
+    base, best, found = math.log2(all_bad / (all_bad + all_good)), 1e-9, None
+    for i, f in enumerate(FEATURES):
+        order = np.argsort(values[:, i], kind="stable")
+        x = values[order, i]
+        cuts = np.flatnonzero(np.diff(x)) + 1
+        if not len(cuts):
+            continue
+        b_low, g_low = np.cumsum(bad[order])[cuts - 1], np.cumsum(good[order])[cuts - 1]
+        for up, b, g in ((True, all_bad - b_low, all_good - g_low), (False, b_low, g_low)):
+            gain = np.where(b >= min_cover, b * (np.log2(np.maximum(b, 1) / np.maximum(b + g, 1)) - base), -1.0)
+            k = int(np.argmax(gain))
+            if gain[k] > best:
+                low, high = float(x[cuts[k] - 1]), float(x[cuts[k]])
+                middle = (low + high) / 2
+                best, found = float(gain[k]), (f, up, middle if low < middle < high else high)
+    return found
 
 
-def learn(feats: DataFrame, labels: DataFrame, bins: int = 12, min_cover: int = 5, max_rules: int = 12, max_conditions: int = 4, min_precision: float = 0.8, fit_rows: int = FIT_ROWS) -> list[list[Condition]]:
+def learn(feats: DataFrame, labels: DataFrame, min_cover: int = 5, max_rules: int = 12, max_conditions: int = 4, min_precision: float = 0.8, fit_rows: int = FIT_ROWS) -> list[list[Condition]]:
     """Conjunctions that tell bad rows (quality 0), in order."""
     marks = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     rows = feats.where(~F.col("base_failed")).select("doc_id", *FEATURES).join(F.broadcast(marks), "doc_id")
-    shares = [i / bins for i in range(1, bins)]
-    cuts = rows.agg(*[F.percentile(f, F.array(*map(F.lit, shares))).alias(f) for f in FEATURES]).first()
-    if cuts[0] is None:
-        return []
-    edges = {f: sorted(set(cuts[f])) for f in FEATURES}
-    bin_of = [sum((F.when(F.col(f) >= F.lit(float(e)), 1).otherwise(0) for e in edges[f]), F.lit(0)).alias(f) for f in FEATURES]
     fold = (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)) == 0).alias("prune")
-    counted = rows.select(*bin_of, fold, "quality").groupBy(*FEATURES, "prune").agg(F.sum(1 - F.col("quality")).alias("bad"), F.sum("quality").alias("good"))
-    # At most fit_rows cells.
-    cells = [({f: r[f] for f in FEATURES}, r.prune, r.bad, r.good) for r in counted.orderBy(*FEATURES, "prune").collect()]
+    counted = rows.select(*FEATURES, fold, "quality").groupBy(*FEATURES, "prune").agg(F.sum(1 - F.col("quality")).alias("bad"), F.sum("quality").alias("good"))
+    # At most a cell for each labelled document.
+    cells = np.array([tuple(r) for r in counted.orderBy(*FEATURES, "prune").collect()], float).reshape(-1, len(FEATURES) + 3)
+    values, prune, bad, good = cells[:, : len(FEATURES)], cells[:, -3] == 1, cells[:, -2].astype(np.int64), cells[:, -1].astype(np.int64)
+
+    def count(rule, rows):
+        hit = _meets(values, rule) & rows
+        return int(bad[hit].sum()), int(good[hit].sum())
+
+    def worth(rule):
+        b, g = count(rule, prune)
+        return (b - g) / (b + g) if b + g else -1.0
+
     found: list[list[Condition]] = []
     while len(found) < max_rules:
         rule: list[Condition] = []
-        bad, good = _count(cells, rule, False)
-        while good and len(rule) < max_conditions and bad >= min_cover:
-            best = None
-            for f in FEATURES:
-                for k in range(1, len(edges[f]) + 1):
-                    for up in (True, False):
-                        b, g = _count(cells, [*rule, (f, up, k)], False)
-                        if b >= min_cover:
-                            gain = b * (math.log2(b / (b + g)) - math.log2(bad / (bad + good)))
-                            if gain > 1e-9 and (best is None or gain > best[0]):
-                                best = (gain, (f, up, k), b, g)
-            if best is None:
+        while len(rule) < max_conditions:
+            hit = _meets(values, rule) & ~prune
+            if not good[hit].sum() or bad[hit].sum() < min_cover:
                 break
-            rule.append(best[1])
-            bad, good = best[2], best[3]
-
-        def worth(r):
-            b, g = _count(cells, r, True)
-            return (b - g) / (b + g) if b + g else -1.0
-
+            condition = _best(values[hit], bad[hit], good[hit], min_cover)
+            if condition is None:
+                break
+            rule.append(condition)
         if rule:
             rule = rule[: max(range(1, len(rule) + 1), key=lambda n: (worth(rule[:n]), -n))]
-        b, g = map(sum, zip(_count(cells, rule, False), _count(cells, rule, True)))
+        b, g = count(rule, np.ones(len(values), bool))
         if not rule or b < min_cover or b < min_precision * (b + g):
             break
-        found.append([(f, up, float(edges[f][k - 1])) for f, up, k in rule])
-        cells = [c for c in cells if not _meets(c, rule)]
+        found.append(rule)
+        left = ~_meets(values, rule)
+        values, prune, bad, good = values[left], prune[left], bad[left], good[left]
     return found
 
 

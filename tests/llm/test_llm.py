@@ -200,6 +200,16 @@ def test_rules_learn(spark):
     assert all(r.kept == (r.doc_id % 3 != 0) for r in rules.judge(feats, learned).where("doc_id is not null").collect())
 
 
+def test_rules_learn_a_rare_class(spark):
+    # 1 bad row in 25, whose feature is 0 everywhere else: every 12th part of the rows ends at 0.
+    good, bad = (" ".join(f"{mark}{i}" for i in range(80)) for mark in ("plain", "pla#n"))
+    rows = [(i, bad if i % 25 == 0 else good, int(i % 25 != 0)) for i in range(750)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    feats = rules.features(table)
+    learned = rules.learn(feats, table.select("doc_id", "quality"))
+    assert all(r.kept == (r.doc_id % 25 != 0) for r in rules.judge(feats, learned).collect())
+
+
 def test_simhash(docs, empty):
     prints = []
     for t in TEXTS:
