@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from marlstone.llm import decontam, langid, packing, rules, sharding, simhash, suffix, token_counts, token_files, wrappers
 
 LONG = " ".join(f"word{i % 977} über" for i in range(6000))
@@ -236,6 +237,40 @@ def test_gray_index():
     assert index.root.tolist() == label.tolist()
 
 
+def test_near_duplicates_stage(spark):
+    rng = np.random.default_rng(11)
+    words, line = [f"w{i}" for i in range(500)], " a line that stands in every one of these texts"
+    texts = [None, "", "One two", "one  TWO", "one two three"]
+    for _ in range(25):
+        base = rng.choice(words, int(rng.integers(6, 120))).tolist()
+        for changes in range(6):
+            t = list(base)
+            for at in rng.integers(0, len(t), changes):
+                t[at] = "other"
+            texts.append(" ".join(t) + line)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [shingles(t) for t in texts]
+    label = list(range(len(sets)))
+    for _ in range(8):
+        label = [min(label[j] for j, b in enumerate(sets) if 5 * len(a & b) >= 4 * len(a | b)) for a in sets]
+    docs = spark.createDataFrame([(int(i), t) for i, t in rows], "doc_id long, text string").repartition(5)
+    assert by_id(corpus_pipeline.near_duplicates(spark, docs, "").select("doc_id")) == [(i,) for i in sorted(set(label))]
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").collect() == []
+
+
+def test_near_duplicates_stage_takes_null_and_repeated_ids(spark):
+    rows = [(None, "a unique text"), (None, "another unique text"), (7, "one text"), (7, "one text"), (7, "a second text"), (None, "ONE text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()))
+    assert got == [(0, "a unique text"), (0, "another unique text"), (7, "a second text"), (7, "one text")]
+
+
 def test_language(spark):
     texts = {"en": "the house and the tree with this", "de": "das haus und der baum mit dieser", "fr": "la maison et les arbres avec cette"}
     rows = [(i, f"{t} {i}", g) for i, (g, t) in enumerate(list(texts.items()) * 5)] + [(90, None, "en"), (91, "12 !", "en"), (92, "the tree", None)]
