@@ -5,6 +5,10 @@ host are aligned one after the other: what only one side has becomes an optional
 becomes a repeated one. Text stands in slots, each with the path of containers around it. The wrapper's main region is
 its article or main element; a host with neither has its whole body as main region.
 
+Text that all distinct pages with its slot repeat, TEMPLATE_PAGES or more, is the host's template and goes; what varies
+is content. Elements that the HTML standard sets aside go by name. Words in class, id and role are hints: one on the
+main region, around it, or on a container of more than half of its text is no reason to drop it.
+
 Equal streams of a host are counted once before the alignment, and hosts are folded in salted parts first, so that a
 hot host is neither collected nor aligned in one task. Null html and pages without main text give an empty text. A null
 url is a host of its own. Repeated pages each get a row; extra columns are ignored.
@@ -15,9 +19,12 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
+from collections.abc import Iterable
 from difflib import SequenceMatcher
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Elements of the HTML standard by their role.
@@ -35,26 +42,45 @@ _TOKEN = re.compile(
     r"|</(?P<close>[a-zA-Z][\w:-]*)[^>]*>|<(?P<open>[a-zA-Z][\w:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>",
     re.S | re.I,
 )
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+#: Class names such as has-sidebar tell of the layout around an element; article-header is a header of the content.
+_LAYOUT = frozenset("has with without no".split())
+_CONTENT = frozenset("article content entry main post story".split())
+TEMPLATE_PAGES = 3
 _CLOSED_BY_BLOCK = frozenset(["p"])
 
 
-def _boilerplate(tag: str, attrs: str, inside_main: bool) -> bool:
+def _hinted(name: str, inside_main: bool) -> bool:
+    """Whether one class, id or role names boilerplate."""
+    parts = [x for x in re.split(r"[^a-z]+", name) if x]
+    if not parts or parts[0] in _LAYOUT:
+        return False
+    hints = HINTS.intersection(parts)
+    if inside_main or _CONTENT.intersection(parts):
+        hints -= {"header"}
+    return bool(hints) or name in ("complementary", "contentinfo", "search", "alert")
+
+
+def _boilerplate(tag: str, attrs: str, inside_main: bool) -> tuple[bool, bool]:
+    """(dropped by the standard, hinted)."""
     if tag in BOILERPLATE and not (tag == "header" and inside_main):
-        return True
+        return True, False
+    hinted = False
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-            return True
-        if name in ("class", "id", "role") and (HINTS & set(re.split(r"[^a-z]+", value)) or value in ("complementary", "contentinfo", "search", "alert")):
-            return True
-    return False
+        if tag not in ("html", "body") and (name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", ""))):
+            return True, False
+        hinted = hinted or (name in ("class", "id", "role") and any(_hinted(x, inside_main) for x in value.split()))
+    return False, hinted
 
 
 def scan(page: str):
-    """(path, boilerplate, text) of each block of a page, and the page's stream of tags and slots."""
-    stack: list[tuple[str, str, bool]] = []
-    blocks: list[tuple[str, bool, str]] = []
+    """(elements, dropped, text) of each block of a page, and the page's stream of tags and slots.
+
+    Elements are (tag, number in the page, hinted) from the outside to the inside.
+    """
+    stack: list[tuple[str, int, bool, bool]] = []
+    blocks: list[tuple[list[tuple[str, int, bool]], bool, str]] = []
     stream: list[str] = []
     held: list[str] = []
     at = 0
@@ -64,7 +90,7 @@ def scan(page: str):
         held.clear()
         if text:
             stream.append("#")
-            blocks.append(("/".join(s[1] for s in stack), any(s[2] for s in stack), text))
+            blocks.append(([s[:3] for s in stack], any(s[3] for s in stack), text))
 
     for m in _TOKEN.finditer(page):
         held.append(page[at : m.start()])
@@ -77,7 +103,7 @@ def scan(page: str):
         if tag in INLINE:
             if tag == "br":
                 held.append(" ")
-            if not (m["open"] and _boilerplate(tag, m["attrs"], False)) and not (m["close"] and stack and stack[-1][0] == tag):
+            if not (m["open"] and any(_boilerplate(tag, m["attrs"], any(s[0] in MAIN for s in stack)))) and not (m["close"] and stack and stack[-1][0] == tag):
                 continue
         flush()
         if m["open"]:
@@ -88,7 +114,8 @@ def scan(page: str):
             stream.append(f"<{tag}>")
             if tag not in VOID and not m["attrs"].rstrip().endswith("/"):
                 inside = any(s[0] in MAIN for s in stack)
-                stack.append((tag, tag, _boilerplate(tag, m["attrs"], inside)))
+                dropped, hinted = _boilerplate(tag, m["attrs"], inside)
+                stack.append((tag, m.start(), hinted, dropped))
         else:
             stream.append(f"</{tag}>")
             if any(s[0] == tag for s in stack):
@@ -151,20 +178,72 @@ def main_region(wrapper: list) -> str:
     return ""
 
 
-def extract(page: str | None, region: str) -> str:
+def slot_key(elements, text: str = "") -> int:
+    """A hash of the path of a slot, or of a text in it."""
+    return xxhash.xxh64_intdigest("/".join(e[0] for e in elements) + "\0" + text) - (1 << 63)
+
+
+def extract(page: str | None, region: str, template: Iterable[int] = ()) -> str:
     """The text of a page inside the region of its host's wrapper; the whole body where the page lacks that region."""
-    blocks, _ = scan(page or "")
-    if region and any(region in path.split("/") for path, _, _ in blocks):
-        blocks = [b for b in blocks if region in b[0].split("/")]
-    return "\n".join(text for _, bad, text in blocks if not bad)
+    blocks = scan(page or "")[0]
+    if region and any(e[0] == region for elements, _, _ in blocks for e in elements):
+        blocks = [b for b in blocks if any(e[0] == region for e in b[0])]
+    blocks = [b for b in blocks if not b[1]]
+    if any(e[2] for elements, _, _ in blocks for e in elements):
+        held: Counter[int] = Counter()
+        mains: Counter[int] = Counter()
+        for elements, _, text in blocks:
+            for tag, number, _ in elements:
+                held[number] += len(text)
+                if tag in MAIN:
+                    mains[number] += len(text)
+        best = max(mains, key=mains.get, default=None)
+        around = {"html", "body"}
+        total = sum(len(text) for _, _, text in blocks)
+        spared = {n for n, size in held.items() if 2 * size > total}
+        for elements, _, _ in blocks:
+            numbers = [e[1] for e in elements]
+            if best in numbers:
+                spared.update(numbers[: numbers.index(best) + 1])
+                break
+        blocks = [b for b in blocks if not any(hinted and number not in spared and tag not in around for tag, number, hinted in b[0])]
+    known = set(template)
+    own = [b for b in blocks if slot_key(b[0], b[2]) not in known] if known else blocks
+    # A page of nothing but its host's template has that as its text.
+    return "\n".join(text for _, _, text in own or blocks)
 
 
 def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
+def template(pages: DataFrame) -> DataFrame:
+    """(host, keys of the texts that all distinct pages of the host repeat in their slot)."""
+
+    def run(batches):
+        for batch in batches:
+            hosts, digests, slots, texts = [], [], [], []
+            for h, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                # Pages are told apart by all their text, so that copies count once.
+                blocks = scan(p or "")[0]
+                digest = xxhash.xxh64_intdigest("\0".join(text for _, _, text in blocks)) - (1 << 63)
+                pairs = {(slot_key(e), slot_key(e, text)) for e, dropped, text in blocks if not dropped}
+                pairs |= {(slot, None) for slot, _ in pairs}
+                hosts += [h] * len(pairs)
+                digests += [digest] * len(pairs)
+                slots += [slot for slot, _ in pairs]
+                texts += [text for _, text in pairs]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(slots, pa.int64()), pa.array(texts, pa.int64())], ["host", "page", "slot", "text"])
+
+    rows = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, page long, slot long, text long").distinct()
+    counted = rows.groupBy("host", "slot", "text").count().where(F.col("count") >= TEMPLATE_PAGES)
+    # The row of a slot itself (null text) counts the pages that have it.
+    same = counted.groupBy("host", "slot", "count").agg(F.max(F.col("text").isNull()).alias("all"), F.collect_list("text").alias("texts"))
+    return same.where("all").groupBy("host").agg(F.flatten(F.collect_list("texts")).alias("template"))
+
+
 def infer(pages: DataFrame, salts: int = 16) -> DataFrame:
-    """(host, wrapper as JSON, region) of every host."""
+    """(host, wrapper as JSON, region, template) of every host."""
 
     def streams(batches):
         for batch in batches:
@@ -194,7 +273,7 @@ def infer(pages: DataFrame, salts: int = 16) -> DataFrame:
     salted = distinct.select("host", F.pmod(F.xxhash64("stream"), F.lit(salts)).alias("salt"), "stream")
     parts = salted.repartition("host", "salt").sortWithinPartitions("host", "salt", "stream").mapInArrow(join_sorted, schema)
     whole = parts.select("host", F.lit(0).cast("long").alias("salt"), "stream").repartition("host").sortWithinPartitions("host", "stream").mapInArrow(join_sorted, schema)
-    return whole.select("host", F.col("stream").alias("wrapper"), "region")
+    return whole.join(template(pages), "host", "left").select("host", F.col("stream").alias("wrapper"), "region", "template")
 
 
 def main_text(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
@@ -202,14 +281,14 @@ def main_text(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [extract(p, r or "") for p, r in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = [extract(p, r or "", t or ()) for p, r, t in zip(*(c.to_pylist() for c in batch.columns[2:]))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"]
             )
 
     # Few regions exist, but hosts grow with the pages: hosts are joined by their salted name, so a hot host is spread.
     spread = 16
-    regions = wrappers.select("host", "region", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("salt"))
+    regions = wrappers.select("host", "region", "template", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("salt"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host(F.col("url")).alias("host"))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(spread)).cast("int"))
-    return rows.join(regions, ["host", "salt"], "left").select("page_id", "url", "html", "region").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.join(regions, ["host", "salt"], "left").select("page_id", "url", "html", "region", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -326,6 +326,31 @@ def test_wrappers(spark):
     assert wrappers.main_text(table.limit(0), wrappers.infer(table.limit(0))).collect() == []
 
 
+def test_wrappers_keep_the_main_region(spark):
+    pages = {
+        1: "<body class='home has-sidebar'><p>one</p></body>",
+        2: "<body><div class='content with-sidebar'><p>two</p></div></body>",
+        3: "<body><article class='post social'><p>three</p></article></body>",
+        4: "<body><div class='article-header'><h1>Title</h1></div><p>four</p></body>",
+        5: "<body><p>see <a href='/hidden-gems'>gems</a> and <a href=/p?id=menu>more</a></p><p data-id='menu'>five</p></body>",
+        6: "<body><div class='sidebar wrap'><main><p>six</p><div class='comments'>x</div></main></div></body>",
+        7: "<body><div class='widget'><p>all of the text</p></div><div class='menu'>go</div></body>",
+    }
+    table = spark.createDataFrame([(i, f"http://h{i}.org/", p) for i, p in pages.items()], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.main_text(table, wrappers.infer(table)).collect()}
+    assert got == {1: "one", 2: "two", 3: "three", 4: "Title\nfour", 5: "see gems and more\nfive", 6: "six", 7: "all of the text"}
+
+
+def test_wrappers_drop_the_template_of_a_host(spark):
+    html = "<body><div>Welcome to our site</div><article><h1>{0}</h1><p>text of {0}</p><p>Call us today</p></article></body>"
+    rows = [(i, f"http://a.org/{i}", html.format(f"page {i}")) for i in range(4)] + [(9, "http://b.org/", html.format("copy")), (10, "http://b.org/2", html.format("copy"))]
+    rows += [(20 + i, f"http://c.org/{i}", f"<body><div>Welcome</div><p>part {i}</p></body>") for i in range(3)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.main_text(table, wrappers.infer(table)).collect()}
+    want = {i: f"page {i}\ntext of page {i}" for i in range(4)} | {i: "copy\ntext of copy\nCall us today" for i in (9, 10)}
+    assert got == want | {20 + i: f"part {i}" for i in range(3)}
+
+
 def test_fold_and_align():
     a = wrappers.fold([[t, ""] for t in ["<ul>", "<li>", "#", "</li>", "<li>", "#", "</li>", "</ul>"]])
     assert a == [["<ul>", ""], [[["<li>", ""], ["#", ""], ["</li>", ""]], "+"], ["</ul>", ""]]
