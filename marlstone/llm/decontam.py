@@ -5,7 +5,8 @@ never stand together in the benchmark cannot hold a window and are left out, wit
 suffix order by prefix doubling, its last column in a wavelet tree, and sampled suffix positions. All windows are
 searched backward at once, their occurrences located, and the spans merged.
 
-The benchmark is taken in blocks of rows of bounded size, so that the patterns fit in a worker. Null or wordless items
+The benchmark is taken in blocks of rows of bounded size, so that the patterns fit in a worker; with more than one, the
+passes over a document row are merged by a stored row number, never by doc_id. Null or wordless items
 have no windows; null or wordless documents have no hits. Equal item_ids count once; a null item_id counts as ''.
 Repeated documents each get a row; extra columns are ignored.
 """
@@ -14,7 +15,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from marlstone.llm import common
 
@@ -173,26 +175,29 @@ class Patterns:
         return out
 
 
-_SPANS = "doc_id long, n_words long, spans array<struct<a:long,b:long>>, items array<string>"
+_SPANS = "n_words long, spans array<struct<a:long,b:long>>, items array<string>"
 
 
 def _pass(docs: DataFrame, items: list[tuple[str, str | None]], shard_bytes: int) -> DataFrame:
+    """All columns of docs but text, then n_words, spans, items."""
+
     def run(batches):
         patterns = Patterns(items)
         for batch in batches:
             for cut in common.slices(batch, "text", shard_bytes):
-                got = patterns.scan(cut.column(1).to_pylist())
+                got = patterns.scan(cut.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        cut.column(0),
+                        *[cut.column(c) for c in others],
                         pa.array([g[0] for g in got], pa.int64()),
                         pa.array([[{"a": a, "b": b} for a, b in g[1]] for g in got], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
                         pa.array([[patterns.names[i] for i in g[2]] for g in got], pa.list_(pa.string())),
                     ],
-                    ["doc_id", "n_words", "spans", "items"],
+                    [*others, "n_words", "spans", "items"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SPANS)
+    others = [c for c in docs.columns if c != "text"]
+    return docs.mapInArrow(run, StructType([*docs.drop("text").schema, *StructType.fromDDL(_SPANS)]))
 
 
 def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
@@ -207,15 +212,18 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
     yield part
 
 
-def find(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, shard_bytes: int = 4 << 20) -> DataFrame:
-    """doc_id, n_words, merged spans (in words), sorted item names, for every row."""
-    passes = [_pass(docs, b, shard_bytes) for b in blocks(benchmark, block_bytes)]
-    if len(passes) == 1:
-        return passes[0]
+def find(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, shard_bytes: int = 4 << 20, row: Column | None = None) -> DataFrame:
+    """doc_id, n_words, merged spans (in words), sorted item names, for every row; and `row`, where given, beside them."""
+    parts = list(blocks(benchmark, block_bytes))
+    own = [F.col("doc_id").cast("long").alias("doc_id"), *([] if row is None else [row.alias("row")])]
+    if len(parts) == 1:
+        return _pass(docs.select(*own, "text"), parts[0], shard_bytes)
+    numbered = common.stored(docs.select(*own, "text", F.monotonically_increasing_id().alias("number")), "numbered")
+    passes = [_pass(numbered.select("number", "text"), b, shard_bytes) for b in parts]
     both = passes[0]
     for p in passes[1:]:
         both = both.unionByName(p)
-    grouped = both.groupBy("doc_id").agg(
+    grouped = both.groupBy("number").agg(
         F.max("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
     merge = lambda acc, x: F.when(
@@ -223,12 +231,14 @@ def find(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES,
         F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], x["b"]).alias("b")))),
     ).otherwise(F.concat(acc, F.array(x)))
     empty = F.expr("cast(array() as array<struct<a:long,b:long>>)")
-    return grouped.select("doc_id", "n_words", F.aggregate("s", empty, merge).alias("spans"), "items")
+    merged = grouped.select("number", "n_words", F.aggregate("s", empty, merge).alias("spans"), "items")
+    return numbered.drop("text").join(merged, "number").drop("number")
 
 
 def digest(found: DataFrame) -> DataFrame:
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["b"] - s["a"])
-    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")).withColumn(
+    row = ["row"] if "row" in found.columns else []
+    return found.select(*row, "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")).withColumn(
         "contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
     )
 

@@ -309,6 +309,14 @@ def test_decontamination(spark, docs, empty, block_bytes):
     assert all(r.n_hit == 0 for r in decontam.digest(decontam.find(docs, bench.limit(0))).collect())
 
 
+def test_decontamination_keeps_rows_of_one_id_apart(spark):
+    rows = [(7, PASSAGE), (7, "clean words"), (7, "clean words"), (None, PASSAGE), (None, "more clean words here"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, PASSAGE), (2, "not there at all"), (3, "birds watch")], "item_id long, text string")
+    got = [sorted(map(str, decontam.digest(decontam.find(docs, bench, size)).collect())) for size in (1 << 20, 10)]
+    assert got[0] == got[1] and len(got[1]) == len(rows)
+
+
 def test_wrappers(spark):
     body = "<html><head><title>x</title><script>var a='</p>';</script></head><body><nav><a>Menu</a></nav>{}<footer>foot</footer></body></html>"
     pages = [
