@@ -1,4 +1,7 @@
-"""Training-corpus pipeline: language ID, near-duplicates, repeated passages, benchmark leaks, packing."""
+"""Training-corpus pipeline: language ID, near-duplicates, repeated passages, benchmark leaks, packing.
+
+A row is a document: no stage joins rows by doc_id, so null and repeated doc_ids neither lose nor multiply rows.
+"""
 
 from __future__ import annotations
 
@@ -10,26 +13,32 @@ from marlstone.llm.queries import table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language (null, or without letters) go."""
+    """Documents in no language (null, or without letters) go. Without labels, all with letters stay."""
     profiles = langid.fit(docs.select("doc_id", "text", "lang").where(~langid.held_out()))
+    if not profiles:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return langid.predict(docs, profiles).where("lang_pred <> 'und'").drop("lang_pred", "score")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more stays."""
+    """One row of each component of texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more stays.
+
+    It has the smallest doc_id, null last; rows without an id, and unequal rows of one id, are documents of their own.
+    """
     return jaccard.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes inside repeated 100-byte strings go; documents left empty go too."""
-    cleaned = suffix.clean(suffix.find(docs)).where("text <> ''")
-    return docs.drop("text", "n_chars").join(cleaned, "doc_id").withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    others = F.struct(*[c for c in docs.columns if c not in ("text", "n_chars")])
+    cleaned = suffix.clean(suffix.find(docs, row=others)).where("text <> ''")
+    return cleaned.select("row.*", "text", F.length("text").cast("long").alias("n_chars")).select(docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
-    bad = decontam.digest(decontam.find(docs, table(spark, sf_dir, "benchmark"))).where("contaminated").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """Contaminated documents go: each row by its own text."""
+    found = decontam.digest(decontam.find(docs, table(spark, sf_dir, "benchmark"), row=F.struct(*docs.columns)))
+    return found.where("not contaminated").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

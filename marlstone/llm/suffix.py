@@ -17,7 +17,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from marlstone.llm import common
 
@@ -214,15 +214,15 @@ def _shared(batches):
         yield from keep(held)
 
 
-def find(docs: DataFrame, width: int = WIDTH, piece: int = PIECE, block_bytes: int = 2 << 20) -> DataFrame:
-    """doc_id, text (null: empty) and merged byte spans to remove, for every row.
+def find(docs: DataFrame, width: int = WIDTH, piece: int = PIECE, block_bytes: int = 2 << 20, row: Column | None = None) -> DataFrame:
+    """doc_id, text (null: empty) and merged byte spans to remove, for every row; and `row`, where given, beside them.
 
     All joins with the texts are on (id, h), the place of a document, so that they share one shuffle of the texts. A text
     that also stands in an earlier document goes whole and takes no further part.
     """
     none = -(1 << 63)
     text = F.coalesce("text", F.lit(""))
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(none)).alias("id"), F.hash(text).alias("h"), text.alias("text"))
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(none)).alias("id"), F.hash(text).alias("h"), text.alias("text"), *([] if row is None else [row.alias("row")]))
     first = base.select("id", "h", F.unhex(F.sha2("text", 256)).alias("digest")).groupBy("digest").agg(F.min("id").alias("id"), F.min("h").alias("h"))
     first = common.stored(first.select("id", "h").distinct(), "first")
 
@@ -289,6 +289,7 @@ def find(docs: DataFrame, width: int = WIDTH, piece: int = PIECE, block_bytes: i
         F.nullif("id", F.lit(none)).alias("doc_id"),
         "text",
         F.when(copy, F.array(F.struct(F.lit(0).cast("long").alias("a"), size.alias("b")))).otherwise(F.coalesce("spans", F.expr(f"cast(array() as array<{_SPAN}>)"))).alias("spans"),
+        *([] if row is None else ["row"]),
     )
 
 
@@ -323,11 +324,11 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def clean(found: DataFrame) -> DataFrame:
-    """doc_id, text without the repeated spans; code points cut by a span go with it."""
+    """doc_id, text without the repeated spans, and `row` where found has it; code points cut by a span go with it."""
 
     def run(batches):
         for batch in batches:
             texts = [kept_bytes(t, s)[0].decode("utf-8", "ignore") for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[3:]], ["doc_id", "text", *batch.schema.names[3:]])
 
-    return found.mapInArrow(run, "doc_id long, text string")
+    return found.mapInArrow(run, found.drop("spans").schema)

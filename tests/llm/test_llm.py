@@ -271,6 +271,27 @@ def test_near_duplicates_stage_takes_null_and_repeated_ids(spark):
     assert got == [(0, "a unique text"), (0, "another unique text"), (7, "a second text"), (7, "one text")]
 
 
+def test_stages_take_null_and_repeated_ids(spark, tmp_path):
+    spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    long = " ".join(f"word{i}" for i in range(60))
+    rows = [(None, "a text", "s1"), (None, "a text too", "s2"), (7, "b text", "s3"), (7, "c text", "s4"), (7, PASSAGE, "s5"), (None, PASSAGE, "s6"), (8, long, "s7"), (8, long + " end", "s8")]
+    docs = spark.createDataFrame([(i, t, None, s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+    def got(stage):
+        return sorted(tuple(r) for r in stage(spark, docs, str(tmp_path)).select(F.coalesce("doc_id", F.lit(0)), "text", "source", "n_chars").collect())
+
+    def want(sources, cut=()):
+        return sorted((i or 0, dict(cut).get(s, t), s, len(dict(cut).get(s, t))) for i, t, s in rows if s in sources)
+
+    every = [s for _, _, s in rows]
+    assert got(corpus_pipeline.language) == want(every)
+    # The passage stays in the row that comes first (null ids do); s8 follows s7 or the other way round, by text.
+    left = got(corpus_pipeline.repeated_passages)
+    assert [r for r in left if r[0] != 8] == [r for r in want([s for s in every if s != "s5"]) if r[0] != 8]
+    assert sum(len(r[1]) for r in left if r[0] == 8) == len(long) + 4
+    assert got(corpus_pipeline.benchmark_leaks) == want([s for s in every if s not in ("s5", "s6")])
+
+
 def test_language(spark):
     texts = {"en": "the house and the tree with this", "de": "das haus und der baum mit dieser", "fr": "la maison et les arbres avec cette"}
     rows = [(i, f"{t} {i}", g) for i, (g, t) in enumerate(list(texts.items()) * 5)] + [(90, None, "en"), (91, "12 !", "en"), (92, "the tree", None)]
