@@ -46,25 +46,32 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that a sample holds three times or more, sorted, and their counts."""
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t))], ["h"])
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if k not in seen:
+                    seen.add(k)
+                    yield pa.RecordBatch.from_arrays([pa.array(shingles(t))], ["h"])
 
     every = max(1, texts.count() // SAMPLE)
-    seen = texts.where(F.pmod("k", F.lit(every)) == 0).select("text").mapInArrow(run, "h long").groupBy("h").count()
+    seen = texts.where(F.pmod("k", F.lit(every)) == 0).select("k", "text").mapInArrow(run, "h long").groupBy("h").count()
     got = seen.where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).collect()
     pairs = np.array(sorted((r["h"], r["count"]) for r in got), np.int64).reshape(-1, 2)
     return pairs[:, 0].copy(), pairs[:, 1].copy()
 
 
 def _prefixes(texts: DataFrame) -> DataFrame:
-    """h, n, k: the members of each text by which it is dealt."""
+    """h, n, k: the members of each text by which it is dealt; copies in one task are dealt once."""
     often, counts = _common(texts)
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
             hs, ns, ks = [], [], []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if k in seen:
+                    continue
+                seen.add(k)
                 h = shingles(t)
                 n = len(h)
                 weight = np.zeros(n, np.int64)
@@ -82,8 +89,16 @@ def _prefixes(texts: DataFrame) -> DataFrame:
 
 
 def _buckets(batches):
-    """Whole buckets (rows of equal first column) as arrays, in order."""
+    """Buckets (rows of equal first column, sorted to the third) of two texts or more as arrays, each text once."""
     held: list[np.ndarray] = []
+
+    def whole(rows):
+        rows = rows[np.concatenate([[True], np.any(rows[1:, :3] != rows[:-1, :3], axis=1)])]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(rows[:, 0])) + 1, [len(rows)]])
+        big = np.flatnonzero(np.diff(cuts) > 1)
+        for a, b in zip(cuts[big].tolist(), cuts[big + 1].tolist()):
+            yield rows[a:b]
+
     for batch in batches:
         rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], 1)
         if not len(rows):
@@ -92,13 +107,23 @@ def _buckets(batches):
         if held[0][0, 0] == rows[-1, 0]:
             continue
         rows = np.concatenate(held)
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(rows[:, 0])) + 1])
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if b - a > 1:
-                yield rows[a:b]
-        held = [rows[cuts[-1] :]]
-    if held and sum(map(len, held)) > 1:
-        yield np.concatenate(held)
+        last = int(np.flatnonzero(np.diff(rows[:, 0]))[-1]) + 1
+        yield from whole(rows[:last])
+        held = [rows[last:]]
+    if held:
+        yield from whole(np.concatenate(held))
+
+
+def _shared(batches):
+    """The rows of buckets of two texts or more."""
+    held: list[np.ndarray] = []
+    for rows in _buckets(batches):
+        held.append(rows)
+        if len(rows) >= 1 << 14 or len(held) >= 1 << 12:
+            yield pa.RecordBatch.from_arrays([pa.array(c.copy()) for c in np.concatenate(held).T], ["h", "n", "k"])
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c.copy()) for c in np.concatenate(held).T], ["h", "n", "k"])
 
 
 def _emit(parts):
@@ -149,7 +174,7 @@ def _rest(batches):
     yield from _emit(parts())
 
 
-def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, texts: DataFrame, first: DataFrame) -> DataFrame:
     """The pairs whose similarity reaches SHARE."""
 
     def hashed(batches):
@@ -168,22 +193,29 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
 
     ks = pairs.select(F.col("u").alias("k")).unionByName(pairs.select(F.col("v").alias("k"))).distinct()
-    sets = common.stored(texts.join(ks, "k", "left_semi").select("k", "text").mapInArrow(hashed, "k long, s binary"), "sets")
+    rows = first.join(ks, "k", "left_semi").select("row")
+    sets = common.stored(texts.join(rows, "row", "left_semi").select("k", "text").mapInArrow(hashed, "k long, s binary"), "sets")
     joined = pairs.join(sets.select(F.col("k").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("k").alias("v"), F.col("s").alias("sv")), "v")
     return common.stored(joined.select("u", "v", "su", "sv").mapInArrow(check, "u long, v long"), "linked")
 
 
-def components(texts: DataFrame) -> DataFrame:
-    """(node, root) of every text with a link; texts are distinct (k, text)."""
-    dealt = common.stored(_prefixes(texts), "prefixes")
-    many = dealt.repartition("h").sortWithinPartitions("h", "n", "k")
-    tried = common.stored(many.mapInArrow(_stars, "u long, v long").distinct(), "stars")
-    links = _linked(tried, texts)
+def components(texts: DataFrame, first: DataFrame) -> DataFrame:
+    """(node, root) of every text with a link; texts have (k, row, text), first one (k, row) of each k."""
+    spark = texts.sparkSession
+    by_bucket = lambda rows: rows.repartition("h").sortWithinPartitions("h", "n", "k")
+    shared = common.stored(by_bucket(_prefixes(texts)).mapInArrow(_shared, "h long, n long, k long"), "shared")
+    common.tidy(spark)
+    tried = common.stored(by_bucket(shared).mapInArrow(_stars, "u long, v long").distinct(), "stars")
+    links = _linked(tried, texts, first)
+    common.tidy(spark)
     roots = simhash.components(links)
-    named = dealt.join(roots, dealt.k == roots.node, "left").select("h", "n", "k", F.coalesce("root", "k").alias("c"))
-    rest = named.repartition("h").sortWithinPartitions("h", "n", "k").mapInArrow(_rest, "u long, v long").distinct()
+    named = shared.join(roots, shared.k == roots.node, "left").select("h", "n", "k", F.coalesce("root", "k").alias("c"))
+    rest = by_bucket(named).mapInArrow(_rest, "u long, v long").distinct()
     rest = common.stored(rest.join(tried, ["u", "v"], "left_anti"), "rest")
-    return simhash.components(links.unionByName(_linked(rest, texts)))
+    common.tidy(spark)
+    more = _linked(rest, texts, first)
+    common.tidy(spark)
+    return simhash.components(links.unionByName(more))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -191,8 +223,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     base = common.stored(docs.withColumn("_k", text_key()).withColumn("_row", F.monotonically_increasing_id()), "rows")
     rank = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("_row").alias("row")))
     heads = common.stored(base.groupBy("_k").agg(rank.alias("head")).select(F.col("_k").alias("k"), "head"), "heads")
-    texts = base.join(heads.select(F.col("head.row").alias("_row")), "_row", "left_semi").select(F.col("_k").alias("k"), "text")
-    texts = common.stored(texts, "texts")
-    roots = components(texts)
+    texts = base.select(F.col("_k").alias("k"), F.col("_row").alias("row"), "text")
+    roots = components(texts, heads.select("k", "head.row"))
     kept = heads.join(roots, heads.k == roots.node, "left").groupBy(F.coalesce("root", "k").alias("c")).agg(F.min("head").alias("head"))
     return base.join(kept.select(F.col("head.row").alias("_row")), "_row", "left_semi").select(docs.columns)
