@@ -47,7 +47,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("benchmark_leaks", benchmark_leaks), ("packing", pack)]
 
-#: SimHash, suffix arrays and tokenizers are beyond SQL; tests/llm compares the stages with brute force.
+#: SimHash, suffix arrays and tokenizers are beyond SQL; tests/llm compares near_duplicates with brute force and runs the first four stages on odd ids.
 ORACLE_SQL = None
 
 
