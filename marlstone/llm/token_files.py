@@ -23,14 +23,21 @@ from marlstone.llm import common, tokens
 MAGIC = b"MEF1"
 
 
+#: The place of the r-th set bit of a byte.
+_BIT = np.array([[([j for j in range(8) if b >> j & 1] + [0] * 8)[r] for r in range(8)] for b in range(256)], np.int64)
+#: Bytes of the upper part for each entry of the directory.
+_STEP = 64
+
+
 class EliasFano:
-    """A non-decreasing sequence in about 2 + log2(universe / n) bits a value, with select."""
+    """A non-decreasing sequence in about 2 + log2(universe / n) bits a value, with select.
+
+    The stored directory holds, as 32-bit numbers, the set bits before every 64th byte of the upper part: one bit more
+    for each 16 bits of it.
+    """
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        counts = np.bitwise_count(high).astype(np.int64)
-        #: Set bits before every 64th byte of the upper part: the select directory.
-        self.directory = np.concatenate([[0], np.cumsum(counts)])[::64]
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, directory: np.ndarray):
+        self.n, self.low_bits, self.low, self.high, self.directory = n, low_bits, low, high, directory
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
@@ -41,37 +48,44 @@ class EliasFano:
         bits = ((values[:, None] >> np.arange(low_bits)) & 1).astype(np.uint8)
         upper = np.zeros(n + (universe >> low_bits) + 1, np.uint8)
         upper[(values >> low_bits) + np.arange(n)] = 1
-        return cls(n, low_bits, np.packbits(bits.ravel(), bitorder="little"), np.packbits(upper, bitorder="little"))
-
-    def _low(self, i: int) -> int:
-        at, out = i * self.low_bits, 0
-        for j in range(self.low_bits):
-            out |= ((int(self.low[(at + j) >> 3]) >> ((at + j) & 7)) & 1) << j
+        high = np.packbits(upper, bitorder="little")
+        high = np.concatenate([high, np.zeros(-len(high) % _STEP, np.uint8)])
+        counts = np.bitwise_count(high).reshape(-1, _STEP).sum(1, dtype=np.uint32)
+        directory = np.cumsum(counts, dtype=np.uint32) - counts
+        return cls(n, low_bits, np.packbits(bits.ravel(), bitorder="little"), high, directory)
+
+    def select(self, i: np.ndarray) -> np.ndarray:
+        """The values numbered i: each by the directory, 64 bytes of the upper part and its own low bits."""
+        out = np.empty(len(i), np.int64)
+        for a in range(0, len(i), 4096):
+            out[a : a + 4096] = self._select(np.asarray(i[a : a + 4096], np.int64))
         return out
 
-    def select(self, i: int) -> int:
-        """Value i, by the directory and at most 64 bytes of the upper part."""
-        block = int(np.searchsorted(self.directory, i, "right")) - 1
-        part = np.unpackbits(self.high[block * 64 : block * 64 + 64], bitorder="little")
-        at = block * 512 + int(np.flatnonzero(part)[i - int(self.directory[block])])
-        return ((at - i) << self.low_bits) | self._low(i)
-
-    def values(self) -> np.ndarray:
-        at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n].astype(np.int64)
-        high = (at - np.arange(self.n)) << self.low_bits
-        if not self.low_bits:
-            return high
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        return high | (bits.astype(np.int64) << np.arange(self.low_bits)).sum(1)
+    def _select(self, i: np.ndarray) -> np.ndarray:
+        block = np.searchsorted(self.directory, i, "right") - 1
+        part = self.high.reshape(-1, _STEP)[block]
+        upto = np.cumsum(np.bitwise_count(part), axis=1, dtype=np.int64)
+        rest = i - self.directory[block]
+        byte = (upto <= rest[:, None]).sum(1)
+        row = np.arange(len(i))
+        rest = rest - np.where(byte > 0, upto[row, byte - 1], 0)
+        at = block * _STEP * 8 + byte * 8 + _BIT[part[row, byte], rest]
+        value = (at - i) << self.low_bits
+        for j in range(self.low_bits):
+            bit = i * self.low_bits + j
+            value |= ((self.low[bit >> 3] >> (bit & 7)).astype(np.int64) & 1) << j
+        return value
 
     def to_bytes(self) -> bytes:
-        return struct.pack("<QBQQ", self.n, self.low_bits, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes()
+        head = struct.pack("<QBQQ", self.n, self.low_bits, len(self.low), len(self.high))
+        return head + self.low.tobytes() + self.high.tobytes() + self.directory.astype("<u4").tobytes()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> EliasFano:
         n, low_bits, a, b = struct.unpack_from("<QBQQ", data)
-        raw = np.frombuffer(data, np.uint8, a + b, struct.calcsize("<QBQQ"))
-        return cls(n, low_bits, raw[:a], raw[a:])
+        at = struct.calcsize("<QBQQ")
+        raw = np.frombuffer(data, np.uint8, a + b, at)
+        return cls(n, low_bits, raw[:a], raw[a:], np.frombuffer(data, "<u4", b // _STEP, at + a + b))
 
 
 def pack_block(ids: np.ndarray, ends: np.ndarray) -> bytes:
@@ -85,11 +99,19 @@ def read_block(data: bytes) -> tuple[np.ndarray, EliasFano]:
     return np.frombuffer(data, "<u4", n, 12), EliasFano.from_bytes(data[12 + 4 * n :])
 
 
+def document(ids: np.ndarray, ends: EliasFano, i: int) -> np.ndarray:
+    """The ids of document i of a block, found by two selects."""
+    first = int(ends.select(np.array([i - 1]))[0]) if i else 0
+    return ids[first : int(ends.select(np.array([i]))[0])]
+
+
 def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Put end_id behind each document."""
     n = len(offsets) - 1
     out = np.full(len(ids) + n, end_id, np.uint32)
-    out[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(offsets))] = ids
+    keep = np.ones(len(out), bool)
+    keep[offsets[1:] + np.arange(n)] = False
+    out[keep] = ids
     return out, offsets + np.arange(n + 1)
 
 
@@ -102,18 +124,17 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     def blocks(batches):
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         enc = tokens.encoder(tokenizer)
-        for batch in batches:
-            for cut in common.slices(batch, "text"):
-                ids, ends = with_end(*enc.encode(common.text_or_empty(cut.column(1))), end_id)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()),
-                        pa.array([len(ids)], pa.int64()), pa.array([cut.column(0).to_pylist()], pa.list_(pa.int64())),
-                        pa.array([pack_block(ids, ends[1:])], pa.binary()),
-                    ],
-                    ["part", "seq", "before", "n_ids", "doc_ids", "block"],
-                )
-                seq, before = seq + 1, before + len(ids)
+        for cut in common.gathered(batches, "text"):
+            ids, ends = with_end(*enc.encode(common.text_or_empty(cut.column(1))), end_id)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()),
+                    pa.array([len(ids)], pa.int64()), pa.ListArray.from_arrays([0, cut.num_rows], cut.column(0)),
+                    pa.array([pack_block(ids, ends[1:])], pa.binary()),
+                ],
+                ["part", "seq", "before", "n_ids", "doc_ids", "block"],
+            )
+            seq, before = seq + 1, before + len(ids)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(
@@ -128,9 +149,9 @@ def read(spark, path: str) -> DataFrame:
         for batch in batches:
             for base, before, doc_ids, block in zip(*(batch.column(i) for i in range(4))):
                 ids, ends = read_block(block.as_py())
-                e = ends.values()
-                s = np.concatenate([[0], e[:-1]])
-                raw = memoryview(ids.tobytes())
+                e = ends.select(np.arange(ends.n))
+                s = np.concatenate([[0], e])[:-1]
+                raw = memoryview(ids).cast("B")
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(s.tolist(), e.tolist())]
                 first = base.as_py() + before.as_py()
                 yield pa.RecordBatch.from_arrays(
