@@ -4,7 +4,9 @@ The cache is a Parquet table (tokenizer, digest, n_tokens). Texts are joined to
 content (null becomes empty; nothing else may change, or a lossless tokenizer would count differently) and the digest of
 the tokenizer file. Only distinct texts that it lacks are encoded, and their counts are appended.
 
-Null text counts as empty: 0 bytes, 0 tokens. Repeated rows each get a row. Extra columns are ignored.
+Null text counts as empty: 0 bytes, 0 tokens. Null and repeated doc_ids each get a row; extra columns are ignored; an empty
+table gives no rows and adds nothing to the cache. One writer at a time fills a cache, so that its digests are distinct:
+the join needs no aggregate above the cache's shuffle, and a digest that very many rows share is split by the skew join.
 """
 
 from __future__ import annotations
@@ -33,10 +35,9 @@ def fill(docs: DataFrame, cache_path: str, tokenizer: str) -> None:
 
     def count(batches):
         enc = tokens.encoder(tokenizer)
-        for batch in batches:
-            for cut in common.slices(batch, "text"):
-                _, ends = enc.encode(common.text_or_empty(cut.column(1)))
-                yield pa.RecordBatch.from_arrays([cut.column(0).cast(pa.binary()), pa.array(np.diff(ends).astype(np.int64))], ["digest", "n_tokens"])
+        for cut in common.gathered(batches, "text"):
+            _, ends = enc.encode(common.text_or_empty(cut.column(1)))
+            yield pa.RecordBatch.from_arrays([cut.column(0).cast(pa.binary()), pa.array(np.diff(ends).astype(np.int64))], ["digest", "n_tokens"])
 
     text = F.coalesce("text", F.lit(""))
     known = open_cache(spark, cache_path).where(F.col("tokenizer") == version).select("digest")
@@ -52,4 +53,4 @@ def count(docs: DataFrame, cache_path: str, tokenizer: str, limit: int = 512) ->
     text = F.coalesce("text", F.lit(""))
     cache = open_cache(docs.sparkSession, cache_path).where(F.col("tokenizer") == tokens.digest(tokenizer)).select("digest", "n_tokens")
     rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("digest"))
-    return rows.join(cache.dropDuplicates(["digest"]), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return rows.join(cache, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
