@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step holds at a time inside a Python worker.
 SLICE_BYTES = 4 << 20
+#: Bytes of text that an encoder takes at a time: more rows repeat more words.
+GATHER_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,6 +76,25 @@ def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Itera
         start, done = end, int(sizes[end - 1])
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, size: int = GATHER_BYTES) -> Iterator[pa.RecordBatch]:
+    """Join small batches, and cut large ones, to parts of about `size` bytes of text, or one longer row."""
+    held: list[pa.RecordBatch] = []
+    nbytes = 0
+    for batch in batches:
+        for part in slices(batch, column, size):
+            held.append(part)
+            nbytes += part.nbytes
+            if nbytes >= size:
+                yield _joined(held)
+                held, nbytes = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Concatenated aranges: starts[i] .. starts[i] + lengths[i] for every i."""
     total = int(lengths.sum())

@@ -1,9 +1,9 @@
 """Whole-text encoding with the tokenizers library at the speed of its model.
 
 A text is cut at plain blanks, where both supported pre-tokenizers cut as well, and Arrow reduces each slice to its
-distinct pieces. A piece made only of Latin letters, digits, ASCII punctuation and single line ends is cut further into
-the pre-tokens the library would make, which go straight to the library's BPE model. All other pieces, and all texts
-with unusual white space, go through the library's full encode(). The result equals encode() of the whole text.
+distinct pieces. New pieces made only of Latin letters, digits and ASCII punctuation are cut together into the pre-tokens
+the library would make, and each new one goes straight to the library's BPE model. All other pieces, and all texts with
+unusual white space, go through the library's full encode(). The result equals encode() of the whole text.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import hashlib
 import json
 import os
 import re
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,12 @@ from marlstone.llm.common import ranges
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARKS = r"!-&(-/:-@\[-`{-~"
-_SEGMENT = re.compile(rf"[{_LETTERS}]+|[0-9]+|[{_MARKS}]+|\n")
-_SIMPLE = re.compile(rf"(?:[{_LETTERS}]+|[0-9]+|[{_MARKS}]+|(?<!\n)\n(?!\n)(?!\Z))+(?<!\n)\Z")
+#: A piece that is cut into segments here; any other goes to the library.
+_SIMPLE = rf"^[{_LETTERS}0-9{_MARKS}]+(?:\n[{_LETTERS}0-9{_MARKS}]+)*$"
+_SEGMENTS = {
+    "words": re.compile(rf"[{_LETTERS}]+|[0-9]|[{_MARKS}]+|\t"),
+    "bytes": re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+|\n|\t"),
+}
 #: A blank that does not simply lead the next word; such texts are encoded by the library as they are.
 _ODD_BLANK = r" (?:\s|[\x1c-\x1f\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200b}\x{2028}-\x{202f}\x{205f}\x{3000}\x{feff}\x{180e}\x{0300}-\x{036f}]|$)"
 
@@ -44,7 +49,11 @@ def digest(path: str) -> str:
 
 
 class Encoder:
-    """Encodes texts with a tokenizers .json file; keeps the ids of known pieces, at most `max_cached`."""
+    """Encodes texts with a tokenizers .json file.
+
+    The ids of known pieces stand one after the other in a pool. When more than `max_cached` pieces are known, those that
+    only one slice has used are forgotten.
+    """
 
     def __init__(self, path: str, max_cached: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -61,17 +70,72 @@ class Encoder:
         self.special = [t["content"] for t in spec["added_tokens"]]
         if any(len(s) < 4 or not s.startswith("<|") for s in self.special):
             self.kind = "library"
-        self._reset()
-
-    def _reset(self) -> None:
-        self.segments: dict[str, tuple[int, ...]] = {}
-
-    def _segment(self, text: str) -> tuple[int, ...]:
-        found = self.segments.get(text)
-        if found is None:
-            mapped = text.encode("utf-8").decode("latin-1").translate(_BYTE_TABLE)
-            found = self.segments[text] = tuple(t.id for t in self.model.tokenize(mapped))
-        return found
+        #: Piece to its number; sizes and begin place its ids in the pool, uses counts the slices that held it.
+        self.pieces: dict[str, int] = {}
+        self.sizes, self.uses, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self._forget_segments()
+
+    def _forget_segments(self) -> None:
+        #: Segment to its number; a tab stands between pieces and has no ids.
+        self.segments: dict[str, int] = {"\t": 0}
+        self.segment_sizes, self.segment_pool = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _simple(self, words: list[str], lead: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of simple pieces, by the segments that the library would cut them into."""
+        if not words:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        joined = lead + f"\t{lead}".join(words)
+        parts = _SEGMENTS[self.kind].findall(joined.lower() if self.kind == "words" else joined)
+        if len(self.segments) > self.max_cached:
+            self._forget_segments()
+        new = [p for p in dict.fromkeys(parts) if p not in self.segments]
+        if new:
+            mapped = "\t".join(new).encode("utf-8").decode("latin-1").translate(_BYTE_TABLE).split(_BYTE_TABLE[9])
+            run = self.model.tokenize
+            ids = [[t.id for t in run(m)] for m in mapped]
+            self.segments.update(zip(new, range(len(self.segments), len(self.segments) + len(new))))
+            self.segment_sizes = np.concatenate([self.segment_sizes, np.fromiter(map(len, ids), np.int64, len(ids))])
+            self.segment_pool = np.concatenate([self.segment_pool, np.fromiter(chain.from_iterable(ids), np.uint32)])
+        code = np.fromiter(map(self.segments.__getitem__, parts), np.int64, len(parts))
+        begin, lens = (np.cumsum(self.segment_sizes) - self.segment_sizes)[code], self.segment_sizes[code]
+        sizes = np.bincount(np.cumsum(code == 0), weights=lens, minlength=len(words)).astype(np.int64)
+        return self.segment_pool[ranges(begin, lens)], sizes
+
+    def _learn(self, words: pa.Array, lead: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of pieces: simple ones together, the others each by the library."""
+        simple = pc.and_(pc.match_substring_regex(words, _SIMPLE), pc.invert(pc.match_substring(words, "<|"))).to_numpy(zero_copy_only=False)
+        texts = words.to_numpy(zero_copy_only=False).tolist()
+        ids, some = self._simple(list(compress(texts, simple.tolist())), lead)
+        got = [self.library.encode(lead + w, add_special_tokens=False).ids if w else () for w in compress(texts, (~simple).tolist())]
+        more = np.fromiter(map(len, got), np.int64, len(got))
+        sizes, begin = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        sizes[simple], sizes[~simple] = some, more
+        begin[simple], begin[~simple] = np.cumsum(some) - some, len(ids) + np.cumsum(more) - more
+        both = np.concatenate([ids, np.fromiter(chain.from_iterable(got), np.uint32)])
+        return both[ranges(begin, sizes)], sizes
+
+    def _numbers(self, vocabulary: pa.Array, lead: str) -> np.ndarray:
+        """The piece number of every word, learning those that are new."""
+        words = vocabulary.to_numpy(zero_copy_only=False).tolist()
+        numbers = np.array([-1 if k is None else k for k in map(self.pieces.get, words)], np.int64)
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            ids, sizes = self._learn(vocabulary.take(pa.array(new)), lead)
+            numbers[new] = np.arange(len(self.pieces), len(self.pieces) + len(new))
+            self.pieces.update(zip([words[k] for k in new.tolist()], numbers[new].tolist()))
+            self.sizes, self.pool = np.concatenate([self.sizes, sizes]), np.concatenate([self.pool, ids])
+            self.uses = np.concatenate([self.uses, np.zeros(len(sizes), np.int64)])
+        self.uses[numbers] += 1
+        return numbers
+
+    def _forget(self) -> None:
+        keep = self.uses > 1
+        if keep.sum() > self.max_cached // 2:
+            keep &= self.uses > np.median(self.uses[keep])
+        begin = np.cumsum(self.sizes) - self.sizes
+        self.pool = self.pool[ranges(begin[keep], self.sizes[keep])]
+        self.pieces = dict(zip(compress(self.pieces, keep.tolist()), range(int(keep.sum()))))
+        self.sizes, self.uses = self.sizes[keep], np.minimum(self.uses[keep], 2)
 
     def _piece(self, piece: str, lead: str) -> tuple[int, ...]:
         if not piece:
@@ -104,27 +168,28 @@ class Encoder:
             lens[odd], begin[odd] = np.diff(off2), off2[:-1] + len(ids)
             both = np.concatenate([ids, ids2])
             return both[ranges(begin, lens)], np.concatenate([[0], np.cumsum(lens)])
+        if len(self.pieces) > self.max_cached:
+            self._forget()
         lists = pc.split_pattern(texts, " ")
         words = lists.values.dictionary_encode()
-        code = words.indices.to_numpy().astype(np.int64)
-        first = np.asarray(lists.offsets)[:-1].astype(np.int64)
-        vocabulary = words.dictionary.to_pylist()
+        code = words.indices.to_numpy()
+        first = np.asarray(lists.offsets)[:-1]
+        vocabulary = words.dictionary
         lead = " " if self.kind == "bytes" else ""
-        if len(self.segments) > self.max_cached:
-            self._reset()
-        known = [self._piece(w, lead) for w in vocabulary]
+        numbers = self._numbers(vocabulary, lead)
+        begin, sizes = np.cumsum(self.sizes) - self.sizes, self.sizes
+        begin, sizes, pool = begin[numbers], sizes[numbers], self.pool
         if lead:  # the first piece of a text has no blank before it
-            heads = code[first]
-            bare = {int(h): len(known) + i for i, h in enumerate(np.unique(heads))}
-            known += [self._piece(vocabulary[h], "") for h in bare]
-            code[first] = [bare[int(h)] for h in heads]
-        sizes = np.fromiter(map(len, known), np.int64, len(known))
-        pool = np.fromiter((i for p in known for i in p), np.uint32, int(sizes.sum()))
-        begin = np.cumsum(sizes) - sizes
+            heads, which = np.unique(code[first], return_inverse=True)
+            bare, more = self._learn(vocabulary.take(pa.array(heads)), "")
+            code = code.copy()
+            code[first] = len(vocabulary) + which
+            begin, sizes = np.concatenate([begin, len(pool) + np.cumsum(more) - more]), np.concatenate([sizes, more])
+            pool = np.concatenate([pool, bare])
         lens = sizes[code]
         ids = pool[ranges(begin[code], lens)]
         ends = np.concatenate([[0], np.cumsum(lens)])
-        return ids, ends[np.asarray(lists.offsets).astype(np.int64)]
+        return ids, ends[np.asarray(lists.offsets)]
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [self.library.encode(t, add_special_tokens=False).ids for t in texts]

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from marlstone.llm import decontam, langid, packing, rules, sharding, simhash, suffix, token_counts, token_files, wrappers
+from marlstone.llm import decontam, langid, packing, rules, sharding, simhash, suffix, token_counts, token_files, tokens, wrappers
 
 LONG = " ".join(f"word{i % 977} über" for i in range(6000))
 PASSAGE = "the quick brown fox jumps over the lazy dog while seventeen small birds watch from a tall green tree and sing about it"
@@ -64,8 +65,29 @@ def test_token_files(spark, docs, empty, tmp_path):
 def test_elias_fano(n):
     values = np.cumsum(np.random.default_rng(n).integers(0, 90, n))
     coded = token_files.EliasFano.from_bytes(token_files.EliasFano.build(values).to_bytes())
-    assert coded.values().tolist() == values.tolist()
-    assert [coded.select(i) for i in range(n)] == values.tolist()
+    assert coded.select(np.arange(n)).tolist() == values.tolist()
+    assert [int(coded.select(np.array([i]))[0]) for i in range(n)] == values.tolist()
+    assert coded.directory.itemsize * len(coded.directory) <= len(coded.high) // 16
+
+
+def test_token_block():
+    ids, ends = np.arange(9, dtype=np.uint32), np.array([1, 1, 6, 9])
+    got, coded = token_files.read_block(token_files.pack_block(ids, ends))
+    assert [token_files.document(got, coded, i).tolist() for i in range(4)] == [[0], [], [1, 2, 3, 4, 5], [6, 7, 8]]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_equals_library(name):
+    """Random texts of odd pieces, through a cache so small that it forgets all the time."""
+    library = Tokenizer.from_file(public_tokenizers.path(name))
+    enc = tokens.Encoder(public_tokenizers.path(name), max_cached=20)
+    rng = np.random.default_rng(5)
+    pieces = ["the", "The", "über", "ÿ", "12", "7a", "a1b22", "don't", "'s", "x.", "...", "a\nb", "\n", "a\n", "\nb", "a\n\nb", "a\tb", "<|endoftext|>", "<|", "é", "e\u0301", "日本", "\u00a0", "\x85", "", " ", "#*", "_", "a_b", "ß", "İ", "\x00"]
+    for _ in range(60):
+        texts = ["".join(rng.choice(pieces) + (" " if rng.random() < 0.7 else "") for _ in range(rng.integers(0, 12))) for _ in range(20)]
+        ids, off = enc.encode(pa.array(texts, pa.string()))
+        for i, t in enumerate(texts):
+            assert ids[off[i] : off[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def test_sharding(docs, empty):
@@ -135,14 +157,53 @@ def test_packing(docs, empty):
 
 
 def test_packing_limits():
-    packer = packing.Packer(64, 4, 60)
-    lengths = [int(x) for x in np.random.default_rng(0).integers(1, 200, 300)]
-    sequences = collections.defaultdict(list)
-    for doc, start, length, seq, _ in packer.pack(lengths):
-        sequences[seq].append((length, length - (start + length == lengths[doc])))
-    assert sum(n for s in sequences.values() for n, _ in s) == sum(lengths)
-    for s in sequences.values():
-        assert sum(n for n, _ in s) <= 64 and len(s) <= 4 and sum(x for _, x in s) <= 60
+    """Three binding limits, against a plain loop over all waiting documents."""
+    limits = (64, 4, 50)
+    rng = np.random.default_rng(0)
+    lengths = rng.integers(1, 150, 300)
+    losses = rng.integers(0, lengths + 1)
+    got = list(packing.Packer(*limits).pack(lengths, losses))
+
+    free, sequence, want, waiting = list(limits), 0, [], set(range(300))
+
+    def put(doc, start, length, loss):
+        nonlocal free, sequence
+        want.append((doc, start, length, sequence, limits[0] - free[0]))
+        free = [free[0] - length, free[1] - 1, free[2] - loss]
+        if free[0] == 0 or free[1] == 0:
+            free, sequence = list(limits), sequence + 1
+
+    while waiting:
+        fits = [d for d in waiting if lengths[d] <= free[0] and losses[d] <= free[2]]
+        if fits:
+            product = lambda d: lengths[d] * free[0] / limits[0] ** 2 + free[1] / limits[1] ** 2 + losses[d] * free[2] / limits[2] ** 2
+            doc = max(fits, key=lambda d: (round(product(d), 12), -lengths[d], -losses[d], d))
+            waiting.remove(doc)
+            put(doc, 0, lengths[doc], losses[doc])
+            continue
+        doc = max(waiting, key=lambda d: (lengths[d], losses[d], d))
+        waiting.remove(doc)
+        start = 0
+        while start < lengths[doc]:
+            bears = [int(k >= lengths[doc] - losses[doc]) for k in range(start, lengths[doc])]
+            take = max(k for k in range(len(bears) + 1) if k <= free[0] and sum(bears[:k]) <= free[2])
+            if take:
+                put(doc, start, take, sum(bears[:take]))
+                start += take
+            else:
+                free, sequence = list(limits), sequence + 1
+    assert [tuple(map(int, g)) for g in got] == [tuple(map(int, w)) for w in want]
+    assert sum(g[2] for g in got) == lengths.sum() and len({g[3] for g in got}) < 1.6 * max(lengths.sum() / 64, losses.sum() / 50)
+    assert list(packing.Packer(*limits).pack(np.zeros(0, np.int64), np.zeros(0, np.int64))) == []
+
+
+def test_packing_loss_column(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    table = spark.createDataFrame([(None, "a b c d " * 30, 5), (1, "x " * 90, None), (1, None, 99), (1, None, 0)], "doc_id long, text string, n_loss int")
+    rows = packing.pack(table.coalesce(1), path, max_tokens=64, max_segments=3, max_loss=16, loss="n_loss").collect()
+    assert sum(r.length for r in rows) == sum(len(Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids) + 1 for t in ("a b c d " * 30, "x " * 90, "", ""))
+    assert all(r.offset + r.length <= 64 for r in rows)
+    assert collections.Counter(r.length for r in rows if r.doc_tokens == 91 or r.doc_tokens == 92).most_common(1)[0][0] == 16
 
 
 def test_suffix(docs, empty):
