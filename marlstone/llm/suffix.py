@@ -1,18 +1,25 @@
 """Removal of repeated byte strings by suffix arrays.
 
-Texts are cut into segments: stretches of windows (`width` bytes) with the same smallest hash of their inner pieces.
-Equal windows have equal smallest hashes, so windows can only repeat between segments with the same key. Keys that occur
-once are dropped; the segments of the others are brought together, and blocks of them are suffix-sorted in two stages:
-suffixes smaller than their successors are sorted directly, all others are induced by one scan over the buckets.
-Common prefixes of neighbours then give the groups of equal windows, whose first member stays.
+Texts are cut into segments: stretches of windows (`width` bytes) that have the same smallest inner piece, by a hash of
+it. Equal windows have equal smallest pieces, so windows can only repeat between segments of one key. Of segments of equal
+content the first stays and all others go whole. Segments alone with their key are dropped. The rest are brought
+together, and blocks of them are suffix-sorted in two stages: suffixes smaller than their successors are sorted directly,
+all others are induced by one scan over the buckets. Common prefixes of neighbours then give the groups of equal windows,
+whose first member stays.
+
+Frequent pieces rank last, so that a key is frequent only where nothing rarer stands in a window: a bitmap from a sample
+of `SAMPLE` texts says which; it moves work, never results. Copies meet in the map tasks first. A key with more than
+`KEY_ROWS` different segments is cut once more, into single windows, which need no sorting.
 
 Null text is empty. Order is (doc_id, start), null doc_id first. Rows that share a doc_id are told apart by their text;
-equal rows are then one document for the order and lose the same bytes. Extra columns are ignored.
+equal rows are one document for the order and lose the same bytes, and only one of them is searched. Texts shorter than
+a window lose nothing. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +29,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from marlstone.llm import common
 
 WIDTH, PIECE = 100, 32
+#: Texts of the sample that ranks pieces, and the share of them (one in so many) that makes a piece frequent.
+SAMPLE, SHARE = 4096, 200
+_RANK_BITS = 20
+#: Different segments of one key that are sorted together.
+KEY_ROWS = 20_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0xD1342543DE82EF95
+_BASE_SIGNED = np.int64(_BASE - (1 << 64))
 
 
 def _hash_pieces(raw: np.ndarray, length: int) -> np.ndarray:
@@ -56,15 +70,36 @@ def _window_min(h: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(h[: len(h) - rest], h[rest:]) if rest else h
 
 
-def segments(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH, piece: int = PIECE):
-    """(document, key, start, length, times) of the segments of documents laid end to end.
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """_BASE and its inverse modulo 2^64 to the powers 0 .. n - 1."""
+    out = []
+    for x in (_BASE, pow(_BASE, -1, 1 << 64)):
+        row = np.full(n, x, np.uint64)
+        row[0] = 1
+        out.append(np.multiply.accumulate(row))
+    return out[0], out[1]
+
 
-    times: how often the key's piece stands in the segment; in periodic text a segment can repeat its own windows.
+def segments(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH, piece: int = PIECE, frequent: np.ndarray | None = None):
+    """(document, key, content, start, length, times) of the segments of documents laid end to end.
+
+    content: a hash of the segment. times: 2 if the key's piece stands in several places of the segment; in periodic text
+    a segment can repeat its own windows.
     """
     if len(raw) < width:
-        return (np.zeros(0, np.int64),) * 5
-    pieces = _hash_pieces(raw, piece).view(np.int64)
-    key = _window_min(pieces.view(np.uint64), width - piece + 1).view(np.int64)
+        return (np.zeros(0, np.int64),) * 6
+    pieces = _hash_pieces(raw, piece)
+    # The order of pieces in a window: frequent ones last, then by hash, then the last place first.
+    place = np.uint64(max(20, len(raw).bit_length()))
+    low = np.uint64((1 << int(place)) - 1)
+    rank = pieces >> np.uint64(1)
+    if frequent is not None:
+        rank |= frequent[pieces & np.uint64((1 << _RANK_BITS) - 1)].astype(np.uint64) << np.uint64(63)
+    rank |= low
+    rank ^= np.arange(len(pieces), dtype=np.uint64)
+    at = (_window_min(rank, width - piece + 1) & low ^ low).astype(np.int64)
+    key = pieces[at].view(np.int64)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     valid = doc[: len(key)] == doc[width - 1 :]
     new = np.ones(len(key), bool)
@@ -73,12 +108,11 @@ def segments(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH, piece: in
     last = np.concatenate([first[1:], [len(key)]]) - 1
     ok = valid[first]
     first, last = first[ok], last[ok]
-    if not len(first):
-        return (np.zeros(0, np.int64),) * 5
-    sizes = last - first + width - piece + 1
-    equal = pieces[common.ranges(first, sizes)] == np.repeat(key[first], sizes)
-    times = np.add.reduceat(equal, np.cumsum(sizes) - sizes, dtype=np.int64)
-    return doc[first], key[first], first - offsets[doc[first]], last - first + width, times
+    up, down = _powers(1 << len(pieces).bit_length())
+    total = np.zeros(len(pieces) + 1, np.uint64)
+    np.cumsum(pieces * up[: len(pieces)], out=total[1:])
+    content = (total[last + width - piece + 1] - total[first]) * down[first] + (last - first).astype(np.uint64) * _MIX
+    return doc[first], key[first], content.view(np.int64), first - offsets[doc[first]], last - first + width, 1 + (at[first] != at[last])
 
 
 def _columns(text: np.ndarray, at: np.ndarray, depth: int) -> list[np.ndarray]:
@@ -177,111 +211,218 @@ def repeated(parts: list[bytes], rank: np.ndarray, starts: np.ndarray, width: in
 
 
 _SPAN = "struct<a:long,b:long>"
-_PLACE = "key long, id long, h int, start int, length int, times int"
+#: times 0: the segment repeats an earlier one as a whole.
+_PLACE = "key long, content long, id long, h long, start int, length int, times int"
+#: kind 0: goes whole; 1: to be sorted; 2: to be cut into windows.
+_MARKED = "key long, id long, h long, start int, length int, kind int"
 
 
-def _shared(batches):
-    """Rows come sorted by key: keep those whose key's piece stands in two places or more."""
+def frequent_pieces(docs: DataFrame, piece: int = PIECE, sample: int = SAMPLE) -> np.ndarray | None:
+    """A bitmap over hashes of the pieces that a bounded sample of texts often holds."""
 
-    def keep(table: pa.Table):
-        key = table.column("key").to_numpy()
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
-        total = np.add.reduceat(table.column("times").to_numpy().astype(np.int64), cuts)
-        rows = np.repeat(total > 1, np.diff(np.concatenate([cuts, [len(key)]])))
-        return table.filter(pa.array(rows)).to_batches()
+    def count(batches):
+        found = [np.zeros(0, np.uint64)]
+        for batch in batches:
+            raw, offsets = common.byte_view(common.text_or_empty(batch.column(0)))
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                found.append(np.unique(_hash_pieces(raw[a:b], piece)))
+        values, counts = np.unique(np.concatenate(found), return_counts=True)
+        often = counts > 1
+        yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often])], ["piece", "n"])
+
+    total = docs.count()
+    every, enough = max(1, total // sample), max(8, min(total, sample) // SHARE)
+    taken = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").repartition(4)
+    seen = taken.mapInArrow(count, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).where(F.col("n") >= enough)
+    cells = seen.select(F.col("piece").bitwiseAND(F.lit((1 << _RANK_BITS) - 1)).cast("int").alias("cell")).distinct().toPandas()["cell"].to_numpy()
+    if not len(cells):
+        return None
+    out = np.zeros(1 << _RANK_BITS, bool)
+    out[cells] = True
+    return out
+
+
+def _mark(key_rows: int):
+    """Rows come sorted by key, content and place: tell those that repeat an earlier one, that are shared, or too many."""
+
+    def marked(rows: dict[str, np.ndarray], which: np.ndarray, kind: np.ndarray):
+        cols = [rows["key"], rows["id"], rows["h"], rows["start"].astype(np.int32), rows["length"].astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c[which]) for c in cols] + [pa.array(kind[which].astype(np.int32))], ["key", "id", "h", "start", "length", "kind"])
+
+    def firsts(rows):
+        key, content, length = rows["key"], rows["content"], rows["length"]
+        out = np.ones(len(key), bool)
+        out[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1]) | (length[1:] != length[:-1])
+        return out
+
+    def take(rows, which):
+        return {c: v[which] for c, v in rows.items()}
+
+    def whole_keys(rows):
+        """All rows of some keys, one for each content."""
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(rows["key"])) + 1])
+        sizes = np.diff(np.concatenate([cuts, [len(rows["key"])]]))
+        shared = (sizes > 1) | (np.maximum.reduceat(rows["times"], cuts) > 1)
+        return marked(rows, np.repeat(shared, sizes), np.where(np.repeat(sizes, sizes) > key_rows, 2, 1))
 
-    # At a batch's end only the last key is open: its first row waits until it is clear whether others follow.
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
+    def run(batches):
+        held, many = None, False  # held: the different contents of the last key; many: it has gone out in part
+        for batch in batches:
+            rows = {c: batch.column(k).to_numpy().astype(np.int64) for k, c in enumerate(batch.schema.names)}
+            done = rows["times"] == 0
+            if done.any():
+                yield marked(rows, done, np.zeros(len(done), np.int64))
+                rows = take(rows, ~done)
+            if not len(rows["key"]):
+                continue
+            if held is not None:
+                rows = {c: np.concatenate([held[c], v]) for c, v in rows.items()}
+            first = firsts(rows)
+            yield marked(rows, ~first, np.zeros(len(first), np.int64))
+            rows = take(rows, first)
+            if many:
+                old = rows["key"] == rows["key"][0]
+                if old.all():  # its last row waits, for others of its content may follow
+                    yield marked(rows, np.arange(len(old)) < len(old) - 1, np.full(len(old), 2))
+                    held = take(rows, slice(-1, None))
+                    continue
+                yield marked(rows, old, np.full(len(old), 2))
+                rows, many = take(rows, ~old), False
+            last = int(np.searchsorted(rows["key"], rows["key"][-1]))
+            if last:
+                yield whole_keys(take(rows, slice(0, last)))
+            held = take(rows, slice(last, None))
+            if len(held["key"]) > key_rows:
+                many = True
+                yield marked(held, np.arange(len(held["key"])) < len(held["key"]) - 1, np.full(len(held["key"]), 2))
+                held = take(held, slice(-1, None))
         if held is not None:
-            table = pa.concat_tables([held, table])
-        key = table.column("key").to_numpy()
-        last = int(np.searchsorted(key, key[-1]))
-        if last:
-            yield from keep(table.slice(0, last))
-        tail = table.slice(last)
-        times = tail.column("times").to_numpy().astype(np.int32)
-        if int(times.sum()) > 1:
-            # Shared already: all but one row go out now, the one that waits carries the mark.
-            marked = tail.set_column(tail.schema.get_field_index("times"), "times", pa.array(np.full(len(times), 2, np.int32)))
-            yield from marked.slice(1).to_batches()
-            tail = marked.slice(0, 1)
-        held = tail.combine_chunks()
-    if held is not None:
-        yield from keep(held)
-
-
-def find(docs: DataFrame, width: int = WIDTH, piece: int = PIECE, block_bytes: int = 2 << 20, row: Column | None = None) -> DataFrame:
-    """doc_id, text (null: empty) and merged byte spans to remove, for every row; and `row`, where given, beside them.
+            yield marked(held, np.ones(len(held["key"]), bool), np.full(len(held["key"]), 2)) if many else whole_keys(held)
 
-    All joins with the texts are on (id, h), the place of a document, so that they share one shuffle of the texts. A text
-    that also stands in an earlier document goes whole and takes no further part.
-    """
-    none = -(1 << 63)
-    text = F.coalesce("text", F.lit(""))
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(none)).alias("id"), F.hash(text).alias("h"), text.alias("text"), *([] if row is None else [row.alias("row")]))
-    first = base.select("id", "h", F.unhex(F.sha2("text", 256)).alias("digest")).groupBy("digest").agg(F.min("id").alias("id"), F.min("h").alias("h"))
-    first = common.stored(first.select("id", "h").distinct(), "first")
+    return run
 
-    def cut(batches):
-        for batch in batches:
-            for part in common.slices(batch, "text", 1 << 20):
-                raw, offsets = common.byte_view(common.text_or_empty(part.column(2)))
-                doc, key, start, length, times = segments(raw, offsets, width, piece)
-                take = pa.array(doc)
-                small = [pa.array(x.astype(np.int32)) for x in (start, length, np.minimum(times, 2))]
-                yield pa.RecordBatch.from_arrays([pa.array(key), part.column(0).take(take), part.column(1).take(take), *small], ["key", "id", "h", "start", "length", "times"])
-
-    segs = base.join(first, ["id", "h"]).select("id", "h", "text").mapInArrow(cut, _PLACE)
-    shared = segs.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, _PLACE)
-    by_doc = shared.groupBy("id", "h").agg(F.collect_list(F.struct("key", "start", "length")).alias("cuts"))
-
-    def load(batches):
-        for batch in batches:
-            for part in common.slices(batch, "text", 1 << 18):
-                raw, offsets = common.byte_view(common.text_or_empty(part.column(2)))
-                lists = part.column(3)
-                cuts, doc = lists.flatten(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-                start = cuts.field("start").to_numpy(zero_copy_only=False).astype(np.int64)
-                length = cuts.field("length").to_numpy(zero_copy_only=False).astype(np.int64)
-                data = np.ascontiguousarray(raw[common.ranges(offsets[doc] + start, length)])
-                ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-                parts = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
-                take = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([cuts.field("key"), part.column(0).take(take), part.column(1).take(take), cuts.field("start"), parts], ["key", "id", "h", "start", "part"])
-
-    def solve(batches):
-        def run(table: pa.Table):
-            ids, hs, starts = (table.column(c).to_numpy().astype(np.int64) for c in ("id", "h", "start"))
-            order = np.lexsort((hs, ids))
-            rank = np.empty(len(ids), np.int64)
-            rank[order] = np.concatenate([[0], np.cumsum((np.diff(ids[order]) != 0) | (np.diff(hs[order]) != 0))])
-            part, a, b = repeated(table.column("part").to_pylist(), rank, starts, width)
-            return pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(hs[part].astype(np.int32)), pa.array(starts[part] + a), pa.array(starts[part] + b)], ["id", "h", "a", "b"])
-
-        held: list[pa.Table] = []
+
+def _cut(batches, width: int, piece: int, frequent: np.ndarray | None):
+    """The segments of (id, h, text) rows; of equal ones in a slice all but the first are known to go."""
+    for batch in batches:
+        for part in common.slices(batch, "text", 1 << 19):
+            part = part.take(pa.array(np.lexsort((part.column(1).to_numpy(), part.column(0).to_numpy()))))
+            raw, offsets = common.byte_view(common.text_or_empty(part.column(2)))
+            doc, key, content, start, length, times = segments(raw, offsets, width, piece, frequent)
+            order = np.argsort(key ^ (content * np.int64(31)), kind="stable")
+            k, c, n = key[order], content[order], length[order]
+            again = order[1:][(k[1:] == k[:-1]) & (c[1:] == c[:-1]) & (n[1:] == n[:-1])]
+            # Those go out under a random key.
+            times[again], key[again] = 0, content[again] ^ (start[again] * _BASE_SIGNED) ^ doc[again]
+            take = pa.array(doc)
+            small = [pa.array(x.astype(np.int32)) for x in (start, length, times)]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(content), part.column(0).take(take), part.column(1).take(take), *small], ["key", "content", "id", "h", "start", "length", "times"])
+
+
+def _windows(starts: np.ndarray, sizes: np.ndarray, raw: np.ndarray, begin: np.ndarray, width: int):
+    """(segment, hash, other hash, start) of every window of some segments."""
+    count = sizes - width + 1
+    which = np.repeat(np.arange(len(sizes)), count)
+    inside = common.ranges(np.zeros(len(sizes), np.int64), count)
+    at = begin[which] + inside
+    return which, _hash_pieces(raw, width)[at].view(np.int64), _hash_pieces(raw ^ np.uint8(0x5A), width)[at], starts[which] + inside
+
+
+def _load(batches, width: int):
+    """(id, h, text, cuts) rows to the bytes of their cuts; or to their windows, each with 8 bytes of another hash."""
+    for batch in batches:
+        for part in common.slices(batch, "text", 1 << 18):
+            raw, offsets = common.byte_view(common.text_or_empty(part.column(2)))
+            lists = part.column(3)
+            cuts, doc = lists.flatten(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            key, start, length, kind = (cuts.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "start", "length", "kind"))
+            one, begin = kind == 1, offsets[doc] + start
+            data = np.ascontiguousarray(raw[common.ranges(begin[one], length[one])])
+            ends = np.concatenate([[0], np.cumsum(length[one])]).astype(np.int32)
+            parts = pa.Array.from_buffers(pa.binary(), int(one.sum()), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
+            names = ["key", "id", "h", "start", "part"]
+
+            def rows(k, d, s, p):
+                return pa.RecordBatch.from_arrays([pa.array(k), part.column(0).take(pa.array(d)), part.column(1).take(pa.array(d)), pa.array(s.astype(np.int32)), p], names)
+
+            yield rows(key[one], doc[one], start[one], parts)
+            if not one.all():
+                which, hashed, other, at = _windows(start[~one], length[~one], raw, begin[~one], width)
+                yield rows(hashed, doc[~one][which], at, pa.Array.from_buffers(pa.binary(8), len(at), [None, pa.py_buffer(other.tobytes())]).cast(pa.binary()))
+
+
+def _solve(width: int, block_bytes: int):
+    """Rows come sorted by key and place: the spans to remove."""
+
+    def spans(ids, hs, a, b):
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hs), pa.array(a), pa.array(b)], ["id", "h", "a", "b"])
+
+    def sort(table: pa.Table):
+        ids, hs, starts = (table.column(c).to_numpy().astype(np.int64) for c in ("id", "h", "start"))
+        order = np.lexsort((hs, ids))
+        rank = np.empty(len(ids), np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum((np.diff(ids[order]) != 0) | (np.diff(hs[order]) != 0))])
+        part, a, b = repeated(table.column("part").to_pylist(), rank, starts, width)
+        return spans(ids[part], hs[part], starts[part] + a, starts[part] + b)
+
+    def run(batches):
+        held, size, window = [], 0, (None, None)
         for batch in batches:
+            alone = pc.equal(pc.binary_length(batch.column(4)), 8)
+            if pc.any(alone).as_py():
+                # Windows of one key and hash are equal: all but the first go.
+                table = batch.filter(alone)
+                key, ids, hs, start = (table.column(k).to_numpy().astype(np.int64) for k in range(4))
+                other = np.frombuffer(b"".join(table.column(4).to_pylist()), np.int64)
+                again = np.ones(len(key), bool)
+                again[1:] = (key[1:] == key[:-1]) & (other[1:] == other[:-1])
+                again[0] = (key[0], other[0]) == window
+                window = (key[-1], other[-1])
+                yield spans(ids[again], hs[again], start[again], start[again] + width)
+                batch = batch.filter(pc.invert(alone))
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch])
-            held.append(table)
-            if sum(t.nbytes for t in held) < block_bytes:
+            held.append(pa.Table.from_batches([batch]))
+            size += batch.nbytes
+            if size < block_bytes or held[0].column("key")[0] == batch.column(0)[-1]:
                 continue
             table = pa.concat_tables(held)
             key = table.column("key").to_numpy()
             last = int(np.searchsorted(key, key[-1]))
-            if last:
-                yield run(table.slice(0, last))
+            yield sort(table.slice(0, last))
             held = [table.slice(last)]
+            size = held[0].nbytes
         if held:
-            yield run(pa.concat_tables(held))
+            yield sort(pa.concat_tables(held))
+
+    return run
+
 
-    loaded = base.join(by_doc, ["id", "h"]).select("id", "h", "text", "cuts").mapInArrow(load, "key long, id long, h int, start int, part binary")
-    spans = loaded.repartition("key").sortWithinPartitions("key").mapInArrow(solve, "id long, h int, a long, b long")
-    merged = spans.groupBy("id", "h").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
+def find(
+    docs: DataFrame, width: int = WIDTH, piece: int = PIECE, block_bytes: int = 2 << 20, row: Column | None = None, key_rows: int = KEY_ROWS, sample: int = SAMPLE
+) -> DataFrame:
+    """doc_id, text (null: empty) and merged byte spans to remove, for every row; and `row`, where given, beside them.
+
+    All joins with the texts are on (id, h), the place of a document, so that they share one shuffle of the texts. A text
+    that also stands in an earlier document goes whole and takes no further part.
+    """
+    none = -(1 << 63)
+    text = F.coalesce("text", F.lit(""))
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(none)).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"), *([] if row is None else [row.alias("row")]))
+    long = base.where(F.octet_length("text") >= width)
+    first = long.select("id", "h", F.unhex(F.sha2("text", 256)).alias("digest")).groupBy("digest").agg(F.min("id").alias("id"), F.min("h").alias("h"))
+    first = common.stored(first.select("id", "h").distinct(), "first")
+    frequent = frequent_pieces(docs.select(text.alias("text")), piece, sample)
+
+    texts = base.join(first, ["id", "h"]).select("id", "h", "text").dropDuplicates(["id", "h"])
+    segs = texts.mapInArrow(lambda batches: _cut(batches, width, piece, frequent), _PLACE)
+    marks = segs.repartition("key").sortWithinPartitions("key", "content", "length", "id", "h", "start").mapInArrow(_mark(key_rows), _MARKED)
+    marks = common.stored(marks, "marks")
+    cuts = marks.where("kind > 0").groupBy("id", "h").agg(F.collect_list(F.struct("key", "start", "length", "kind")).alias("cuts"))
+    loaded = texts.join(cuts, ["id", "h"]).select("id", "h", "text", "cuts").mapInArrow(lambda batches: _load(batches, width), "key long, id long, h long, start int, part binary")
+    spans = loaded.repartition("key").sortWithinPartitions("key", "id", "h", "start").mapInArrow(_solve(width, block_bytes), "id long, h long, a long, b long")
+    whole = marks.where("kind = 0").select("id", "h", F.col("start").cast("long").alias("a"), (F.col("start") + F.col("length")).cast("long").alias("b"))
+    merged = spans.unionByName(whole).groupBy("id", "h").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
     known = first.join(merged, ["id", "h"], "left").select("id", "h", "spans", F.lit(True).alias("first"))
     size = F.octet_length("text").cast("long")
     copy = F.col("first").isNull() & (size >= width)

@@ -206,23 +206,58 @@ def test_packing_loss_column(spark):
     assert collections.Counter(r.length for r in rows if r.doc_tokens == 91 or r.doc_tokens == 92).most_common(1)[0][0] == 16
 
 
-def test_suffix(docs, empty):
-    seen, want = set(), []
-    for i, t in enumerate(TEXTS):
+def removed(rows, width=100):
+    """(doc_id, bytes, removed, runs, sha256 of the rest) by a dictionary of all windows; rows in order."""
+    seen, want = {}, []
+    for place, (i, t) in enumerate(rows):
+        raw = (t or "").encode()
+        for k in range(len(raw) - width + 1):
+            seen.setdefault(raw[k : k + width], (place, k))
+    for place, (i, t) in enumerate(rows):
         raw = (t or "").encode()
         gone = np.zeros(len(raw), bool)
-        for k in range(len(raw) - 99):
-            if raw[k : k + 100] in seen:
-                gone[k : k + 100] = True
-            seen.add(raw[k : k + 100])
+        same = rows.index((i, t))
+        for k in range(len(raw) - width + 1):
+            if seen[raw[k : k + width]] < (same, k):
+                gone[k : k + width] = True
         runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
         want.append((i, len(raw), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest()))
+    return want
+
+
+def test_suffix(docs, empty):
     found = suffix.find(docs)
-    assert by_id(suffix.digest(found)) == want
+    assert by_id(suffix.digest(found)) == removed(list(enumerate(TEXTS)))
     assert suffix.digest(suffix.find(empty)).collect() == []
     assert len(suffix.clean(found).collect()) == len(TEXTS)
 
 
+@pytest.mark.parametrize("key_rows,sample", [(20_000, 4096), (2, 4096), (1, 0)])
+def test_suffix_hot_keys(spark, key_rows, sample):
+    """Shared passages in new contexts, near copies, periodic and repeated rows; blocks, keys and sample of any size."""
+    rng = np.random.default_rng(8)
+    noise = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    line, passage = noise(60), noise(400)
+    texts = [noise(int(rng.integers(0, 90))) + line + noise(int(rng.integers(0, 90))) for _ in range(60)]
+    texts += [noise(30) + passage[int(rng.integers(0, 200)) :] + noise(30) for _ in range(40)]
+    texts += [passage[:200] + str(k % 7) + passage[200:] for k in range(30)] + ["abc" * 100, "x" + "abc" * 90, "é" * 80, passage, "", "z" * 99]
+    rows = list(enumerate(texts)) + [(500, passage + line)] * 40 + [(501, None)] * 3
+    table = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, key int").repartition(4)
+    got = suffix.find(table, key_rows=key_rows, sample=max(1, sample), block_bytes=3000)
+    assert by_id(suffix.digest(got)) == removed(rows)
+
+
+def test_suffix_repeated_ids(spark):
+    """Rows of one id or of none are documents of their own, in some order: one copy of each passage stays."""
+    rng = np.random.default_rng(9)
+    noise = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8)).decode()
+    passage = noise(150)
+    table = spark.createDataFrame([(i, str(k) * 60 + passage + str(k) * 60) for k, i in enumerate((None, None, 1, 1, 2))], "doc_id long, text string")
+    got = suffix.digest(suffix.find(table)).collect()
+    assert sorted(r.n_removed for r in got) == [0, 150, 150, 150, 150]
+    assert [r.doc_id for r in got if not r.n_removed] == [None]
+
+
 def test_two_stage_sort():
     rng = np.random.default_rng(3)
     for symbols in (2, 3, 200):
