@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import html
+import json
 import re
 import zlib
 
@@ -447,7 +449,8 @@ def test_wrappers(spark):
     found = wrappers.infer(table)
     got = {r.page_id: r.text for r in wrappers.main_text(table, found).collect()}
     assert got == {1: "T & U\nOne two three\nFour five", 2: "T\nx", 3: "plain", 4: "", 5: ""}
-    assert {r.host: r.region for r in found.collect()} == {"a.org": "article", "b.org": "", "": ""}
+    regions = {r.host: json.loads(r.plan)["region"] for r in found.collect()}
+    assert regions == {"a.org": [wrappers._key(("html", "body", "article"))], "b.org": [wrappers._key(("html", "body", "div"))]}
     assert wrappers.main_text(table.limit(0), wrappers.infer(table.limit(0))).collect() == []
 
 
@@ -476,8 +479,102 @@ def test_wrappers_drop_the_template_of_a_host(spark):
     assert got == want | {20 + i: f"part {i}" for i in range(3)}
 
 
-def test_fold_and_align():
-    a = wrappers.fold([[t, ""] for t in ["<ul>", "<li>", "#", "</li>", "<li>", "#", "</li>", "</ul>"]])
-    assert a == [["<ul>", ""], [[["<li>", ""], ["#", ""], ["</li>", ""]], "+"], ["</ul>", ""]]
-    both = wrappers.align([["<p>", ""], ["#", ""]], [["<p>", ""], ["<i>", ""], ["#", ""]])
-    assert both == [["<p>", ""], ["<i>", "?"], ["#", ""]]
+def tree(page):
+    return wrappers.scan(page)[1]
+
+
+def covers(node, page):
+    """Whether a wrapper, as the regular expression that it is, matches the tree of a page; by brute force."""
+
+    def item(mark, nodes):
+        one = "(?:" + "|".join(expression(n) for n in nodes) + ")"
+        return one + {"": "" if len(nodes) == 1 else "+", "?": "?", "+": "+", "*": "*"}[mark]
+
+    def expression(n):
+        return f"<{re.escape(n.kind)}>" + "".join(item(m, nodes) for m, nodes in n.items) + f"</{re.escape(n.kind)}>"
+
+    def written(element):
+        return f"<{element[0]}>" + "".join(written(x) for x in element[1]) + f"</{element[0]}>"
+
+    def elements(items):
+        # Pages of the test are plain: every tag is closed, no text matters.
+        stack = [("", [])]
+        for m in re.finditer(r"<(/?)([a-z0-9]+)>", items):
+            if m[1]:
+                done = stack.pop()
+                stack[-1][1].append(done)
+            else:
+                stack.append((m[2], []))
+        return stack[0]
+
+    return re.fullmatch(expression(node), written(elements(page))) is not None
+
+
+def test_wrapper_covers_its_pages():
+    """Random pages: the aligned wrapper matches each of them, in any order, and stays small."""
+    rng = np.random.default_rng(4)
+
+    def element(depth):
+        tag = str(rng.choice(["div", "section", "p", "h2", "ul", "table"]))
+        if tag in ("p", "h2") or depth == 0:
+            return f"<{tag}>text {rng.integers(0, 9)}</{tag}>"
+        return f"<{tag}>" + "".join(element(depth - 1) for _ in range(rng.integers(1, 5))) + f"</{tag}>"
+
+    for _ in range(20):
+        pages = ["<body>" + "".join(element(2) for _ in range(rng.integers(1, 6))) + "</body>" for _ in range(12)]
+        one = tree(pages[0])
+        for p in pages[1:]:
+            one = wrappers.align(one, tree(p))
+        assert all(covers(one, p) for p in pages)
+        parts = [wrappers.Node.load(json.loads(json.dumps(wrappers.align(tree(pages[k]), tree(pages[k + 1])).dump()))) for k in range(0, 12, 2)]
+        other = parts[0]
+        for p in parts[1:]:
+            other = wrappers.align(other, p)
+        assert all(covers(other, p) for p in pages)
+        assert len(list(wrappers._paths(one))) <= 6 + 36 + 216
+
+
+def test_wrapper_groups_and_bound():
+    both = wrappers.align(tree("<body><p>a</p><p>b</p></body>"), tree("<body><h2>c</h2><p>d</p></body>"))
+    assert both.regex() == "<><body>(<h2>#</h2>)?(<p>#</p>)+</body></>"
+    assert tree("<body><p>a</p><ul>x</ul><p>b</p></body>").regex() == "<><body>((<p>#</p>)?(<ul>#</ul>)?)+</body></>"
+    many = tree("<body>" + "".join(f"<div class='{chr(97 + k // 26)}{chr(97 + k % 26)}x'>text {k}.</div>" for k in range(300)) + "</body>")
+    for k in range(50):
+        many = wrappers.align(many, tree(f"<body><div class='q{chr(97 + k % 26)}{chr(97 + k // 2)}'>more {k}.</div></body>"))
+    assert len(list(wrappers._paths(many))) <= wrappers.KINDS
+    how = wrappers.plan(many)
+    assert wrappers.extract("<body><div class='never-seen'>Some text here.</div></body>", how) == "Some text here."
+
+
+def test_wrappers_decide(spark):
+    """Class names alone drop nothing, and what a host repeats goes without any."""
+    menu = '<div class="xq1">Home Products About</div>'
+    text = lambda k: f"<p>Sentence {k} of this page is its own and long enough.</p><p>So is the one with number {k * 7}.</p>"
+    pages = {k: ("plain.org", f"<body>{menu}<div class='zz'>{text(k)}</div><div class='yy'>All rights kept</div></body>") for k in range(4)}
+    want = {k: f"Sentence {k} of this page is its own and long enough.\nSo is the one with number {k * 7}." for k in range(4)}
+    inner = '<div class="social-history">The guilds of the town.</div><p class="notice-of-law">The law of 1848.</p><div class="share-prices">Wheat rose by 3.</div>'
+    pages[10] = ("inner.org", f"<body><article>{text(1)}{inner}<div class='share-buttons'>Share this</div></article></body>")
+    want[10] = want[1] + "\nThe guilds of the town.\nThe law of 1848.\nWheat rose by 3."
+    pages[11] = ("broken.org", "<body><article><p class=\"x>One text.</p><p title='a > b'>Two</p><p>Three < four & five</article>")
+    want[11] = "One text.\nTwo\nThree < four & five"
+    pages[12] = ("single.org", f"<body>{menu}{text(3)}</body>")
+    want[12] = want[3]
+    pages[13] = ("long.org", "<body><article>" + text(5) * 3000 + "</article></body>")
+    want[13] = "\n".join([want[1].replace("Sentence 1", "Sentence 5").replace("7.", "35.")] * 3000)
+    pages[14] = ("deep.org", "<div>" * 5000 + "<p>Down here it is dark.</p>")
+    want[14] = "Down here it is dark."
+    rows = [(k, f"http://{h}/{k}", p) for k, (h, p) in pages.items()] * 2
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = wrappers.main_text(table, wrappers.infer(table)).collect()
+    assert collections.Counter((r.page_id, r.text) for r in got) == collections.Counter(2 * list(want.items()))
+    assert all(r.n_chars == len(r.text) for r in got)
+
+
+def test_html_text_of_the_tables(spark):
+    """On the given pages the main text is the article's, by a plain reading of it."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in wrappers.main_text(rows, wrappers.infer(rows)).collect()}
+    for r in rows.collect():
+        inside = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub(r"</?b>", "", re.sub("<br>", " ", x))).split()) for x in re.split(r"</?(?:p|h1)>", inside)]
+        assert got[r.page_id] == "\n".join(b for b in blocks if b)
