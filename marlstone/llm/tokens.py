@@ -55,7 +55,7 @@ class Encoder:
     only one slice has used are forgotten.
     """
 
-    def __init__(self, path: str, max_cached: int = 300_000):
+    def __init__(self, path: str, max_cached: int = 150_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
