@@ -12,7 +12,7 @@ import hashlib
 import json
 import os
 import re
-from itertools import chain, compress
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -88,15 +88,18 @@ class Encoder:
         parts = _SEGMENTS[self.kind].findall(joined.lower() if self.kind == "words" else joined)
         if len(self.segments) > self.max_cached:
             self._forget_segments()
-        new = [p for p in dict.fromkeys(parts) if p not in self.segments]
-        if new:
+        code = np.fromiter(map(self.segments.get, parts, repeat(-1)), np.int64, len(parts))
+        unknown = np.flatnonzero(code < 0).tolist()
+        if unknown:
+            names = [parts[k] for k in unknown]
+            new = list(dict.fromkeys(names))
             mapped = "\t".join(new).encode("utf-8").decode("latin-1").translate(_BYTE_TABLE).split(_BYTE_TABLE[9])
             run = self.model.tokenize
             ids = [[t.id for t in run(m)] for m in mapped]
             self.segments.update(zip(new, range(len(self.segments), len(self.segments) + len(new))))
             self.segment_sizes = np.concatenate([self.segment_sizes, np.fromiter(map(len, ids), np.int64, len(ids))])
             self.segment_pool = np.concatenate([self.segment_pool, np.fromiter(chain.from_iterable(ids), np.uint32)])
-        code = np.fromiter(map(self.segments.__getitem__, parts), np.int64, len(parts))
+            code[unknown] = np.fromiter(map(self.segments.__getitem__, names), np.int64, len(names))
         begin, lens = (np.cumsum(self.segment_sizes) - self.segment_sizes)[code], self.segment_sizes[code]
         sizes = np.bincount(np.cumsum(code == 0), weights=lens, minlength=len(words)).astype(np.int64)
         return self.segment_pool[ranges(begin, lens)], sizes
@@ -117,7 +120,7 @@ class Encoder:
     def _numbers(self, vocabulary: pa.Array, lead: str) -> np.ndarray:
         """The piece number of every word, learning those that are new."""
         words = vocabulary.to_numpy(zero_copy_only=False).tolist()
-        numbers = np.array([-1 if k is None else k for k in map(self.pieces.get, words)], np.int64)
+        numbers = np.fromiter(map(self.pieces.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(numbers < 0)
         if len(new):
             ids, sizes = self._learn(vocabulary.take(pa.array(new)), lead)
