@@ -1,10 +1,12 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles.
+"""SimHash near-duplicates made whole: exact Jaccard similarity of word shingles.
 
-Sets whose similarity reaches SHARE have a common member among the first n - ceil(SHARE * n) + 1 of each in any one
-order of all shingles (prefix filter), so texts are dealt by those and no pair is missed. The order puts shingles that
-a sample of texts often holds last; it decides the work, not the result. In a bucket each text is first checked against
-the first of its size, then the pairs that are still in different components are checked: a bucket of near copies costs
-its size, not its pairs. Links are counted on whole sets. Shingles and texts are known by 64-bit hashes.
+Texts whose sets of 5-word shingles reach a similarity of SHARE differ in about 5 to 12 of 64 fingerprint bits, which no
+index by blocks of bits can promise to find. So the links of the SimHash index (simhash.links, 5 words) come first, each
+checked on the whole sets, and a prefix filter completes them: sets whose similarity reaches SHARE have a common member
+among the first n - ceil(SHARE * n) + 1 of each in any one order of all shingles, so texts are dealt by those and no pair
+is missed. The order puts shingles that a sample of texts often holds last; it decides the work, not the result. In a
+bucket each text is first checked against the first of its size, then the pairs that are still in different components
+are checked: a bucket of near copies costs its size, not its pairs. Shingles and texts are known by 64-bit hashes.
 
 Words are lower-cased in ASCII and split at ASCII blanks. A text of fewer words than a shingle is one shingle, null,
 empty and wordless texts are one text. Columns other than text are ignored.
@@ -205,7 +207,9 @@ def components(texts: DataFrame, first: DataFrame) -> DataFrame:
     by_bucket = lambda rows: rows.repartition("h").sortWithinPartitions("h", "n", "k")
     shared = common.stored(by_bucket(_prefixes(texts)).mapInArrow(_shared, "h long, n long, k long"), "shared")
     common.tidy(spark)
-    tried = common.stored(by_bucket(shared).mapInArrow(_stars, "u long, v long").distinct(), "stars")
+    found = simhash.links(texts.join(first, ["k", "row"], "left_semi").select(F.col("k").alias("doc_id"), "text"), WIDTH)
+    stars = by_bucket(shared).mapInArrow(_stars, "u long, v long")
+    tried = common.stored(stars.unionByName(found).distinct(), "stars")
     links = _linked(tried, texts, first)
     common.tidy(spark)
     roots = simhash.components(links)

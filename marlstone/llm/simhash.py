@@ -41,12 +41,12 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (64 bits in a long) for every row."""
+def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
+    """doc_id, fp (64 bits in a long) for every row; width: words in a shingle."""
 
     def run(batches):
         for batch in batches:
-            fp = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
+            fp = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
@@ -164,6 +164,17 @@ def bucket_edges(distinct: DataFrame) -> DataFrame:
     return dealt.repartition("b", "v").sortWithinPartitions("b", "v", "fp").mapInArrow(run, "u long, v long")
 
 
+def links(texts: DataFrame, width: int = 3) -> DataFrame:
+    """(u, v), u > v: a forest of the links between the doc_ids of distinct texts, by their fingerprints."""
+    fps = common.stored(fingerprints(texts, width), "fingerprints")
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    equal = fps.join(least, "fp").where("doc_id > least").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
+    edges = bucket_edges(least.select("fp"))
+    a, b = (least.select(F.col("fp").alias(x), F.col("least").alias(f"of_{x}")) for x in ("u", "v"))
+    near = edges.join(a, "u").join(b, "v").select(F.greatest("of_u", "of_v").alias("u"), F.least("of_u", "of_v").alias("v"))
+    return equal.unionByName(near).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge; edges are (u, v) with u > v."""
     edges = common.stored(edges.distinct(), "edges")
