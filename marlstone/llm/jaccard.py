@@ -8,6 +8,10 @@ is missed. The order puts shingles that a sample of texts often holds last; it d
 bucket each text is first checked against the first of its size, then the pairs that are still in different components
 are checked: a bucket of near copies costs its size, not its pairs. Shingles and texts are known by 64-bit hashes.
 
+One pass over the texts stores of each its prefix, fingerprint and sketch: a quarter of its set, and how many of the rest
+fall into each of twelve parts. The sketches of two sets bound their overlap from above, so that most candidates go
+before whole sets are read again; those of the others are compared exactly.
+
 Words are lower-cased in ASCII and split at ASCII blanks. A text of fewer words than a shingle is one shingle, null,
 empty and wordless texts are one text. Columns other than text are ignored.
 """
@@ -25,6 +29,7 @@ WIDTH = 5
 #: SHARE is 4 / 5, in whole numbers.
 UP, DOWN = 4, 5
 SAMPLE, COMMON = 20_000, 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -62,14 +67,36 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return pairs[:, 0].copy(), pairs[:, 1].copy()
 
 
-def _prefixes(texts: DataFrame) -> DataFrame:
-    """h, n, k: the members of each text by which it is dealt; copies in one task are dealt once."""
+_FEATURES = "k long, n int, fp long, prefix array<long>, sketch binary"
+#: Parts of a set by the low bits of its hashes: the first ones are sampled, the others counted.
+_PARTS, _SAMPLED = 16, 4
+
+
+def sketch(h: np.ndarray) -> bytes:
+    part = h & (_PARTS - 1)
+    counts = np.bincount(part, minlength=_PARTS)[_SAMPLED:].astype("<u4")
+    return counts.tobytes() + np.sort((h[part < _SAMPLED] >> 32).astype("<i4")).tobytes()
+
+
+def overlap_bound(a: bytes, b: bytes) -> int:
+    """An upper bound of the common members of two sets, by their sketches."""
+    at = 4 * (_PARTS - _SAMPLED)
+    rest = np.minimum(np.frombuffer(a, "<u4", _PARTS - _SAMPLED), np.frombuffer(b, "<u4", _PARTS - _SAMPLED)).sum()
+    x, y = np.frombuffer(a, "<i4", offset=at), np.frombuffer(b, "<i4", offset=at)
+    if not len(x) or not len(y):
+        return int(rest)
+    # Members cut to 32 bits: equal ones may be counted too often, never too rarely.
+    return int(rest) + int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+
+
+def _features(texts: DataFrame) -> DataFrame:
+    """One row for each distinct text; copies in one task are read once."""
     often, counts = _common(texts)
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            hs, ns, ks = [], [], []
+            out = []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if k in seen:
                     continue
@@ -80,14 +107,20 @@ def _prefixes(texts: DataFrame) -> DataFrame:
                 if len(often):
                     at = np.minimum(np.searchsorted(often, h), len(often) - 1)
                     weight = np.where(often[at] == h, counts[at], 0)
-                first = h[np.lexsort((h, weight))[: n - -(-UP * n // DOWN) + 1]]
-                hs.append(first)
-                ns.append(np.full(len(first), n))
-                ks.append(np.full(len(first), k))
-            if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, ns, ks)], ["h", "n", "k"])
-
-    return texts.select("k", "text").mapInArrow(run, "h long, n long, k long")
+                prefix = h[np.lexsort((h, weight))[: n - -(-UP * n // DOWN) + 1]]
+                out.append((k, n, simhash.vote(h.view(np.uint64)), prefix, sketch(h)))
+            if out:
+                k, n, fp, prefix, sketches = zip(*out)
+                ends = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(k, pa.int64()), pa.array(n, pa.int32()), pa.array(np.array(fp, np.uint64).view(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix))), pa.array(sketches, pa.binary()),
+                    ],
+                    ["k", "n", "fp", "prefix", "sketch"],
+                )
+
+    return texts.select("k", "text").mapInArrow(run, _FEATURES).dropDuplicates(["k"])
 
 
 def _buckets(batches):
@@ -176,7 +209,21 @@ def _rest(batches):
     yield from _emit(parts())
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, first: DataFrame) -> DataFrame:
+def _possible(pairs: DataFrame, features: DataFrame) -> DataFrame:
+    """The pairs whose sketches allow a similarity of SHARE."""
+
+    def check(batches):
+        for batch in batches:
+            n = (batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()).tolist()
+            sketches = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())
+            mask = pa.array([(UP + DOWN) * overlap_bound(a, b) >= UP * m for m, (a, b) in zip(n, sketches)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
+
+    of = lambda x: features.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "nu", "nv", "su", "sv").mapInArrow(check, "u long, v long")
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, features: DataFrame, first: DataFrame) -> DataFrame:
     """The pairs whose similarity reaches SHARE."""
 
     def hashed(batches):
@@ -194,10 +241,13 @@ def _linked(pairs: DataFrame, texts: DataFrame, first: DataFrame) -> DataFrame:
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
 
-    ks = pairs.select(F.col("u").alias("k")).unionByName(pairs.select(F.col("v").alias("k"))).distinct()
-    rows = first.join(ks, "k", "left_semi").select("row")
-    sets = common.stored(texts.join(rows, "row", "left_semi").select("k", "text").mapInArrow(hashed, "k long, s binary"), "sets")
-    joined = pairs.join(sets.select(F.col("k").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("k").alias("v"), F.col("s").alias("sv")), "v")
+    possible = common.stored(_possible(pairs, features), "possible")
+    ks = possible.select(F.col("u").alias("k")).unionByName(possible.select(F.col("v").alias("k"))).distinct()
+    rows = common.stored(first.join(ks, "k", "left_semi").select("row"), "checked")
+    # A row number takes 8 bytes; beyond the bound the texts are dealt to them.
+    wanted = F.broadcast(rows) if 8 * rows.count() <= BROADCAST_BYTES else rows
+    sets = common.stored(texts.join(wanted, "row", "left_semi").select("k", "text").mapInArrow(hashed, "k long, s binary"), "sets")
+    joined = possible.join(sets.select(F.col("k").alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col("k").alias("v"), F.col("s").alias("sv")), "v")
     return common.stored(joined.select("u", "v", "su", "sv").mapInArrow(check, "u long, v long"), "linked")
 
 
@@ -205,19 +255,22 @@ def components(texts: DataFrame, first: DataFrame) -> DataFrame:
     """(node, root) of every text with a link; texts have (k, row, text), first one (k, row) of each k."""
     spark = texts.sparkSession
     by_bucket = lambda rows: rows.repartition("h").sortWithinPartitions("h", "n", "k")
-    shared = common.stored(by_bucket(_prefixes(texts)).mapInArrow(_shared, "h long, n long, k long"), "shared")
+    features = common.stored(_features(texts), "features")
+    common.tidy(spark)
+    dealt = features.select(F.explode("prefix").alias("h"), F.col("n").cast("long").alias("n"), "k")
+    shared = common.stored(by_bucket(dealt).mapInArrow(_shared, "h long, n long, k long"), "shared")
     common.tidy(spark)
-    found = simhash.links(texts.join(first, ["k", "row"], "left_semi").select(F.col("k").alias("doc_id"), "text"), WIDTH)
+    found = simhash.links(features.select(F.col("k").alias("doc_id"), "fp"))
     stars = by_bucket(shared).mapInArrow(_stars, "u long, v long")
     tried = common.stored(stars.unionByName(found).distinct(), "stars")
-    links = _linked(tried, texts, first)
+    links = _linked(tried, texts, features, first)
     common.tidy(spark)
     roots = simhash.components(links)
     named = shared.join(roots, shared.k == roots.node, "left").select("h", "n", "k", F.coalesce("root", "k").alias("c"))
     rest = by_bucket(named).mapInArrow(_rest, "u long, v long").distinct()
     rest = common.stored(rest.join(tried, ["u", "v"], "left_anti"), "rest")
     common.tidy(spark)
-    more = _linked(rest, texts, first)
+    more = _linked(rest, texts, features, first)
     common.tidy(spark)
     return simhash.components(links.unionByName(more))
 

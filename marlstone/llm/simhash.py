@@ -34,11 +34,15 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     starts = (ends - sizes)[:n].tolist()
     ends = ends[min(width, len(parts)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends)), np.uint64, n)
+    return vote(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends)), np.uint64, n))
+
+
+def vote(h: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     ones = np.zeros(64, np.int64)
-    for i in range(0, n, 65536):
+    for i in range(0, len(h), 65536):
         ones += np.unpackbits(h[i : i + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -164,9 +168,8 @@ def bucket_edges(distinct: DataFrame) -> DataFrame:
     return dealt.repartition("b", "v").sortWithinPartitions("b", "v", "fp").mapInArrow(run, "u long, v long")
 
 
-def links(texts: DataFrame, width: int = 3) -> DataFrame:
-    """(u, v), u > v: a forest of the links between the doc_ids of distinct texts, by their fingerprints."""
-    fps = common.stored(fingerprints(texts, width), "fingerprints")
+def links(fps: DataFrame) -> DataFrame:
+    """(u, v), u > v: a forest of the links between distinct doc_ids, by their fingerprints (doc_id, fp)."""
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     equal = fps.join(least, "fp").where("doc_id > least").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
     edges = bucket_edges(least.select("fp"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from marlstone.llm import decontam, langid, packing, rules, sharding, simhash, suffix, token_counts, token_files, tokens, wrappers
+from marlstone.llm import decontam, jaccard, langid, packing, rules, sharding, simhash, suffix, token_counts, token_files, tokens, wrappers
 
 LONG = " ".join(f"word{i % 977} über" for i in range(6000))
 PASSAGE = "the quick brown fox jumps over the lazy dog while seventeen small birds watch from a tall green tree and sing about it"
@@ -578,3 +578,15 @@ def test_html_text_of_the_tables(spark):
         inside = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         blocks = [" ".join(html.unescape(re.sub(r"</?b>", "", re.sub("<br>", " ", x))).split()) for x in re.split(r"</?(?:p|h1)>", inside)]
         assert got[r.page_id] == "\n".join(b for b in blocks if b)
+
+
+def test_sketches_bound_the_overlap():
+    rng = np.random.default_rng(11)
+    for size in (1, 3, 40, 3000):
+        pool = rng.integers(-(1 << 62), 1 << 62, size * 2)
+        for _ in range(20):
+            a, b = (np.unique(rng.choice(pool, size)) for _ in range(2))
+            both = len(np.intersect1d(a, b))
+            assert both <= jaccard.overlap_bound(jaccard.sketch(a), jaccard.sketch(b)) <= min(len(a), len(b)) + size // 4 + 1
+    one = np.sort(rng.integers(-(1 << 62), 1 << 62, 400))
+    assert jaccard.overlap_bound(jaccard.sketch(one), jaccard.sketch(one)) == 400
