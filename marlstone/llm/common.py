@@ -17,14 +17,19 @@ SLICE_BYTES = 4 << 20
 GATHER_BYTES = 2 << 20
 
 
+#: Folders of intermediate tables by application, until release() deletes them.
+_KEPT: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    """The folder all executors share: spark.checkpoint.dir. A local session without one gets a folder of its own."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="marlstone-")
-        spark.sparkContext.setCheckpointDir(base)
+        context.setCheckpointDir(base)
     return base.rstrip("/")
 
 
@@ -32,7 +37,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/marlstone/{uuid.uuid4().hex}/{name}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
@@ -40,6 +45,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """written(), for an intermediate table that release() deletes."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    _KEPT.setdefault(spark.sparkContext.applicationId, []).append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def mark(spark: SparkSession) -> int:
+    """How many intermediate tables there are now."""
+    return len(_KEPT.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete the intermediate tables made since a mark, but those whose name is in keep. No result may still need them."""
+    tables = _KEPT.get(spark.sparkContext.applicationId, [])
+    for path in tables[since:]:
+        if path.rsplit("/", 1)[1] not in keep:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    tables[since:] = [p for p in tables[since:] if p.rsplit("/", 1)[1] in keep]
+
+
 def tidy(spark: SparkSession) -> None:
     """Let Spark drop shuffle files of finished steps now: it notices only when the driver collects garbage."""
     import gc

@@ -5,8 +5,10 @@ index by blocks of bits can promise to find. So the links of the SimHash index (
 checked on the whole sets, and a prefix filter completes them: sets whose similarity reaches SHARE have a common member
 among the first n - ceil(SHARE * n) + 1 of each in any one order of all shingles, so texts are dealt by those and no pair
 is missed. The order puts shingles that a sample of texts often holds last; it decides the work, not the result. In a
-bucket each text is first checked against the first of its size, then the pairs that are still in different components
-are checked: a bucket of near copies costs its size, not its pairs. Shingles and texts are known by 64-bit hashes.
+bucket each text is first checked against LEADS others of its size, then the pairs that are still in different components
+are checked: a bucket of near copies costs its size, not its pairs. A pair counts in a bucket only if what stands behind
+the bucket's shingle in both sets can still reach SHARE (positional filter): for the first shingle that both have, that
+bounds their whole overlap. Shingles and texts are known by 64-bit hashes.
 
 One pass over the texts stores of each its prefix, fingerprint and sketch: a quarter of its set, and how many of the rest
 fall into each of twelve parts. The sketches of two sets bound their overlap from above, so that most candidates go
@@ -30,6 +32,8 @@ WIDTH = 5
 UP, DOWN = 4, 5
 SAMPLE, COMMON = 20_000, 200_000
 BROADCAST_BYTES = 64 << 20
+#: Texts of a bucket with which the others of their size are compared first.
+LEADS = 12
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -149,16 +153,31 @@ def _buckets(batches):
         yield from whole(np.concatenate(held))
 
 
+_BUCKET = "h long, n long, k long, p long"
+
+
 def _shared(batches):
     """The rows of buckets of two texts or more."""
     held: list[np.ndarray] = []
+    size = 0
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array(c.copy()) for c in np.concatenate(held).T], ["h", "n", "k", "p"])
+
     for rows in _buckets(batches):
         held.append(rows)
-        if len(rows) >= 1 << 14 or len(held) >= 1 << 12:
-            yield pa.RecordBatch.from_arrays([pa.array(c.copy()) for c in np.concatenate(held).T], ["h", "n", "k"])
-            held = []
+        size += len(rows)
+        if size >= 1 << 14:
+            yield out()
+            held, size = [], 0
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c.copy()) for c in np.concatenate(held).T], ["h", "n", "k"])
+        yield out()
+
+
+def _reaches(rows: np.ndarray, i: int, others: slice) -> np.ndarray:
+    """Which others of a bucket can be similar to row i, with nothing in common before the bucket's shingle."""
+    left = rows[others, 1] - rows[others, 3]
+    return (UP + DOWN) * np.minimum(left, rows[i, 1] - rows[i, 3]) >= UP * (rows[others, 1] + rows[i, 1])
 
 
 def _emit(parts):
@@ -177,34 +196,40 @@ def _emit(parts):
 
 
 def _stars(batches):
-    """Each text of a bucket (h, n, k) with the first whose size allows a link."""
+    """Each text of a bucket (h, n, k, p) with LEADS others, evenly spread over those whose sizes allow a link."""
 
     def parts():
         for rows in _buckets(batches):
             n, k = rows[:, 1], rows[:, 2]
-            lead = 0
-            while lead < len(rows) - 1:
-                end = int(np.searchsorted(n, DOWN * n[lead] // UP, "right"))
-                if end - lead > 1:
-                    yield np.full(end - lead - 1, k[lead]), k[lead + 1 : end]
-                lead = end
+            start = 0
+            while start < len(rows) - 1:
+                end = int(np.searchsorted(n, DOWN * n[start] // UP, "right"))
+                for lead in {start + (end - start) * j // LEADS for j in range(LEADS)}:
+                    span = slice(start, min(len(rows), int(np.searchsorted(n, DOWN * n[lead] // UP, "right"))))
+                    near = _reaches(rows, lead, span) & (DOWN * n[span] >= UP * n[lead])
+                    near[lead - start] = False
+                    other = k[span][near]
+                    if len(other):
+                        yield np.full(len(other), k[lead]), other
+                start = max(end, start + 1)
 
     yield from _emit(parts())
 
 
 def _rest(batches):
-    """All pairs of a bucket (h, n, k, c) of different components c whose sizes allow a link."""
+    """All pairs of a bucket (h, n, k, p, c) of different components c that can be similar."""
 
     def parts():
         for rows in _buckets(batches):
-            n, k, c = rows[:, 1], rows[:, 2], rows[:, 3]
+            n, k, c = rows[:, 1], rows[:, 2], rows[:, 4]
             if np.all(c == c[0]):
                 continue
             ends = np.searchsorted(n, DOWN * n // UP, "right")
             for i in range(len(rows) - 1):
-                other = np.flatnonzero(c[i + 1 : ends[i]] != c[i]) + i + 1
+                span = slice(i + 1, int(ends[i]))
+                other = k[span][(c[span] != c[i]) & _reaches(rows, i, span)]
                 if len(other):
-                    yield np.full(len(other), k[i]), k[other]
+                    yield np.full(len(other), k[i]), other
 
     yield from _emit(parts())
 
@@ -254,11 +279,12 @@ def _linked(pairs: DataFrame, texts: DataFrame, features: DataFrame, first: Data
 def components(texts: DataFrame, first: DataFrame) -> DataFrame:
     """(node, root) of every text with a link; texts have (k, row, text), first one (k, row) of each k."""
     spark = texts.sparkSession
+    begun = common.mark(spark)
     by_bucket = lambda rows: rows.repartition("h").sortWithinPartitions("h", "n", "k")
     features = common.stored(_features(texts), "features")
     common.tidy(spark)
-    dealt = features.select(F.explode("prefix").alias("h"), F.col("n").cast("long").alias("n"), "k")
-    shared = common.stored(by_bucket(dealt).mapInArrow(_shared, "h long, n long, k long"), "shared")
+    dealt = features.select(F.posexplode("prefix").alias("p", "h"), F.col("n").cast("long").alias("n"), "k").select("h", "n", "k", F.col("p").cast("long").alias("p"))
+    shared = common.stored(by_bucket(dealt).mapInArrow(_shared, _BUCKET), "shared")
     common.tidy(spark)
     found = simhash.links(features.select(F.col("k").alias("doc_id"), "fp"))
     stars = by_bucket(shared).mapInArrow(_stars, "u long, v long")
@@ -266,13 +292,16 @@ def components(texts: DataFrame, first: DataFrame) -> DataFrame:
     links = _linked(tried, texts, features, first)
     common.tidy(spark)
     roots = simhash.components(links)
-    named = shared.join(roots, shared.k == roots.node, "left").select("h", "n", "k", F.coalesce("root", "k").alias("c"))
+    named = shared.join(roots, shared.k == roots.node, "left").select("h", "n", "k", "p", F.coalesce("root", "k").alias("c"))
     rest = by_bucket(named).mapInArrow(_rest, "u long, v long").distinct()
     rest = common.stored(rest.join(tried, ["u", "v"], "left_anti"), "rest")
     common.tidy(spark)
     more = _linked(rest, texts, features, first)
     common.tidy(spark)
-    return simhash.components(links.unionByName(more))
+    # The result is one small table more; all others of this search go.
+    roots = common.stored(simhash.components(links.unionByName(more)), "roots")
+    common.release(spark, begun, keep=("roots",))
+    return roots
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
