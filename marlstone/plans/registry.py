@@ -14,12 +14,13 @@ class Registry:
         self.queries: dict[str, Query] = {}
         self.oracles: dict[str, str] = {}
 
-    def __call__(self, sql: str) -> Callable[[Query], Query]:
-        """Register a function under its own name, with its SQL."""
+    def __call__(self, sql: str | None) -> Callable[[Query], Query]:
+        """Register a function under its own name, with its SQL; None where SQL cannot express it."""
 
         def add(function: Query) -> Query:
             self.queries[function.__name__] = function
-            self.oracles[function.__name__] = sql
+            if sql is not None:
+                self.oracles[function.__name__] = sql
             return function
 
         return add
