@@ -1,4 +1,4 @@
-"""Message lists: turn windows, role breakdowns, repeated reads."""
+"""Message lists: turn windows, role breakdowns."""
 
 from __future__ import annotations
 
@@ -18,16 +18,9 @@ def turn_budget(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.sum(F.length("text")).over(w).alias("used")).where("used <= 2000")
 
 
-def repeated_messages(spark, sf_dir):
-    """Messages whose text stood in an earlier turn of the same conversation."""
-    w = Window.partitionBy("conv_id", "text").orderBy("turn")
-    return read(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.row_number().over(w).alias("k")).where("k > 1").select("conv_id", "turn")
-
-
-_FUNCTIONS = (role_breakdown, turn_budget, repeated_messages)
+_FUNCTIONS = (role_breakdown, turn_budget)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 ORACLES = {
     "role_breakdown": "SELECT role, count(*) AS n, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY 1",
     "turn_budget": "SELECT * FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC)::BIGINT AS used FROM conversations) WHERE used <= 2000",
-    "repeated_messages": "SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, text ORDER BY turn) AS k FROM conversations WHERE text IS NOT NULL) WHERE k > 1",
 }

@@ -14,8 +14,14 @@ from marlstone.sources.tables import read
 
 query = Registry()
 
-BY = Window.partitionBy("arr")
-IN_ORDER = BY.orderBy("idx")
+
+# Windows need a session: they are made where they are used.
+def _by():
+    return Window.partitionBy("arr")
+
+
+def _in_order():
+    return _by().orderBy("idx")
 
 
 # --- operators -------------------------------------------------------------------------------------------------------
@@ -44,7 +50,7 @@ def sequential(items: DataFrame, field: str) -> DataFrame:
     """Whether 5 numbers or more run up in steps of 0.5 to 2: over 80 % of the sorted gaps, and over 70 % in array order."""
     x = F.col(field).cast("double")
     step = lambda d: (d >= 0.5) & (d <= 2.0)
-    rows = items.where(x.isNotNull()).select("arr", (x - F.lag(x).over(BY.orderBy(x, "idx"))).alias("gap"), (x - F.lag(x).over(IN_ORDER)).alias("next"))
+    rows = items.where(x.isNotNull()).select("arr", (x - F.lag(x).over(_by().orderBy(x, "idx"))).alias("gap"), (x - F.lag(x).over(_in_order())).alias("next"))
     per = rows.groupBy("arr").agg(
         F.count(F.lit(1)).alias("m"), F.avg("gap").alias("mean"), F.avg(step(F.col("gap")).cast("double")).alias("even"), F.avg((F.col("next") >= 0).cast("double")).alias("rising")
     )
@@ -54,7 +60,7 @@ def sequential(items: DataFrame, field: str) -> DataFrame:
 def score_confidence(items: DataFrame, field: str) -> DataFrame:
     """How much a numeric field looks like a score: bounds, falling order, fractions. Sequential fields are none."""
     x = F.col(field).cast("double")
-    rows = items.where(x.isNotNull()).select("arr", x.alias("x"), (x <= F.lag(x).over(IN_ORDER)).alias("falls"), F.row_number().over(IN_ORDER).alias("k"))
+    rows = items.where(x.isNotNull()).select("arr", x.alias("x"), (x <= F.lag(x).over(_in_order())).alias("falls"), F.row_number().over(_in_order()).alias("k"))
     whole = F.col("x") == F.floor("x")
     per = rows.groupBy("arr").agg(
         F.count(F.lit(1)).alias("m"), F.min("x").alias("low"), F.max("x").alias("high"), F.avg(F.col("falls").cast("double")).alias("falling"),
@@ -71,8 +77,8 @@ def change_points(items: DataFrame, field: str, window: int = 5) -> DataFrame:
     """(arr, idx) where the mean of the next `window` leaves that of the last by over two deviations, over a window apart."""
     x = F.col(field).cast("double")
     raw = items.select(
-        "arr", "idx", "n", F.avg(x).over(IN_ORDER.rowsBetween(-window, -1)).alias("before"), F.avg(x).over(IN_ORDER.rowsBetween(0, window - 1)).alias("after"),
-        F.stddev_samp(x).over(BY).alias("deviation"),
+        "arr", "idx", "n", F.avg(x).over(_in_order().rowsBetween(-window, -1)).alias("before"), F.avg(x).over(_in_order().rowsBetween(0, window - 1)).alias("after"),
+        F.stddev_samp(x).over(_by()).alias("deviation"),
     ).where((F.col("n") >= 2 * window) & F.col("idx").between(window, F.col("n") - window) & (F.abs(F.col("after") - F.col("before")) > 2 * F.col("deviation")))
     far = lambda acc, i: F.when((F.size(acc) == 0) | (i - F.element_at(acc, -1) > window), F.concat(acc, F.array(i))).otherwise(acc)
     kept = raw.groupBy("arr").agg(F.array_sort(F.collect_list("idx")).alias("found"))
@@ -82,7 +88,7 @@ def change_points(items: DataFrame, field: str, window: int = 5) -> DataFrame:
 def is_anomaly(field: str) -> Column:
     """Over two sample deviations from the mean of the array."""
     x = F.col(field).cast("double")
-    return F.coalesce((F.stddev_samp(x).over(BY) > 0) & (F.abs(x - F.avg(x).over(BY)) > 2 * F.stddev_samp(x).over(BY)), F.lit(False))
+    return F.coalesce((F.stddev_samp(x).over(_by()) > 0) & (F.abs(x - F.avg(x).over(_by())) > 2 * F.stddev_samp(x).over(_by())), F.lit(False))
 
 
 def is_error(item: str = "item") -> Column:
@@ -92,19 +98,19 @@ def is_error(item: str = "item") -> Column:
 def rare_values(items: DataFrame, field: str) -> DataFrame:
     """(arr, value) of a field of 2 to 50 values outside of the most frequent ones (5 at most) that cover 80 % of the items."""
     counts = items.groupBy("arr", F.col(field).alias("value")).agg(F.count(F.lit(1)).alias("c"))
-    w = BY.orderBy(F.desc("c"), "value")
+    w = _by().orderBy(F.desc("c"), "value")
     ranked = counts.select(
         "arr", "value", "c", F.row_number().over(w).alias("r"), F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("upto"),
-        F.sum("c").over(BY).alias("total"), F.count(F.lit(1)).over(BY).alias("distinct"),
+        F.sum("c").over(_by()).alias("total"), F.count(F.lit(1)).over(_by()).alias("distinct"),
     )
     covering = (F.col("upto") - F.col("c")) < F.ceil(F.col("total") * 0.8)  # of the top values, up to the one that reaches the share
-    marked = ranked.withColumn("top", F.count_if(covering).over(BY)).where("distinct between 2 and 50 and top <= 5 and r > top")
+    marked = ranked.withColumn("top", F.count_if(covering).over(_by())).where("distinct between 2 and 50 and top <= 5 and r > top")
     return marked.select("arr", "value")
 
 
 def rare_fields(items: DataFrame, fields: list[str]) -> Column:
     """Whether an item of an array of 5 or more holds a field that under 20 % of the items hold."""
-    return F.col("n").__ge__(5) & F.greatest(*[F.col(f).isNotNull() & (F.count(f).over(BY) < F.col("n") * 0.2) for f in fields], F.lit(False))
+    return F.col("n").__ge__(5) & F.greatest(*[F.col(f).isNotNull() & (F.count(f).over(_by()) < F.col("n") * 0.2) for f in fields], F.lit(False))
 
 
 def anchors(n: Column, limit: int, front: float, back: float, idx: Column) -> Column:
@@ -127,7 +133,7 @@ def information(items: DataFrame, fields: list[str]) -> DataFrame:
     """Adds `information`: .4 rarity of the field values + .3 length among the items + .3 structure (0 where all share fields)."""
     rarity = sum(1 - F.count(F.lit(1)).over(Window.partitionBy("arr", f)) / F.col("n") for f in fields) / len(fields)
     size = F.length("item")
-    low, high = F.min(size).over(BY), F.max(size).over(BY)
+    low, high = F.min(size).over(_by()), F.max(size).over(_by())
     length = F.when(high == low, 0.5).otherwise((size - low) / (high - low))
     return items.withColumn("information", F.when(F.col("n") < 2, 0.5).otherwise(0.4 * rarity + 0.3 * length))
 
@@ -139,7 +145,7 @@ def prioritize(items: DataFrame, limit: int) -> DataFrame:
     are too many, all critical ones stay, then the first three, the last two, and the rest in order, up to the limit.
     """
     rows = items.withColumn("keep", F.col("keep") & (F.row_number().over(Window.partitionBy("arr", "item", "keep").orderBy("idx")) == 1))
-    rows = rows.withColumn("m", F.count_if("keep").over(BY)).withColumn("seen", F.max("keep").over(Window.partitionBy("arr", "item")))
+    rows = rows.withColumn("m", F.count_if("keep").over(_by())).withColumn("seen", F.max("keep").over(Window.partitionBy("arr", "item")))
     # Others in the order in which strides visit them.
     rows = rows.withColumn("c", F.when(~F.col("keep"), F.row_number().over(Window.partitionBy("arr", "keep").orderBy("idx")) - 1))
     step = F.greatest(F.lit(1), F.floor((F.col("n") - F.col("m")) / (F.lit(limit) - F.col("m") + 1)))
@@ -149,7 +155,7 @@ def prioritize(items: DataFrame, limit: int) -> DataFrame:
     filled = F.col("keep") | (F.col("new") & (F.col("turn") <= F.lit(limit) - F.col("m")))
     group = F.when(F.col("critical"), 0).when(F.col("idx") < 3, 1).when(F.col("idx") >= F.col("n") - 2, 2).when(F.col("keep"), 3)
     rows = rows.withColumn("group", group)
-    place = F.row_number().over(BY.orderBy(F.asc_nulls_last("group"), "idx"))
+    place = F.row_number().over(_by().orderBy(F.asc_nulls_last("group"), "idx"))
     final = F.when(F.col("m") <= limit, filled).otherwise(F.col("group").isNotNull() & (F.col("critical") | (place <= limit)))
     return items.join(rows.select("arr", "idx", final.alias("final")), ["arr", "idx"])
 
@@ -223,7 +229,7 @@ def a2_number_profile(spark, sf_dir):
 def a2_text_profile(spark, sf_dir):
     """Profile of a text field: mean length, values, and the three most frequent with their counts."""
     items = _events(spark, sf_dir)
-    ranked = items.groupBy("arr", "kind").agg(F.count(F.lit(1)).alias("c")).withColumn("r", F.row_number().over(BY.orderBy(F.desc("c"), "kind")))
+    ranked = items.groupBy("arr", "kind").agg(F.count(F.lit(1)).alias("c")).withColumn("r", F.row_number().over(_by().orderBy(F.desc("c"), "kind")))
     top = ranked.where("r <= 3").groupBy("arr").agg(F.array_sort(F.collect_list(F.struct("r", F.concat_ws(":", "kind", F.col("c").cast("string")).alias("t")))).alias("top"))
     base = items.groupBy("arr").agg(F.round(F.avg(F.length("kind")), 4).alias("avg_length"), F.countDistinct("kind").alias("unique_count"))
     return base.join(top, "arr").select(F.col("arr").alias("user_id"), "avg_length", "unique_count", F.array_join("top.t", ",").alias("top"))
@@ -522,7 +528,7 @@ def a17_top_n(spark, sf_dir):
 
 def top_n(items: DataFrame, score: str, limit: int, must: Column) -> DataFrame:
     """The limit - 3 items of the highest score, ties in order, and all that must stay, in array order."""
-    rank = F.row_number().over(BY.orderBy(F.desc(score), "idx"))
+    rank = F.row_number().over(_by().orderBy(F.desc(score), "idx"))
     return items.withColumn("rank", rank).where((F.col("rank") <= limit - 3) | must).drop("rank")
 
 
@@ -550,12 +556,12 @@ def bigram_curve(items: DataFrame, text: str) -> DataFrame:
     )
     rows = items.where(F.col(text).isNotNull()).withColumn("w", words)
     first = rows.select("arr", "idx", F.explode(pairs).alias("g")).groupBy("arr", "g").agg(F.min("idx").alias("idx")).groupBy("arr", "idx").agg(F.count(F.lit(1)).alias("c"))
-    return rows.join(first, ["arr", "idx"], "left").select("arr", "idx", F.sum(F.coalesce("c", F.lit(0))).over(IN_ORDER).alias("seen"))
+    return rows.join(first, ["arr", "idx"], "left").select("arr", "idx", F.sum(F.coalesce("c", F.lit(0))).over(_in_order()).alias("seen"))
 
 
 def knee(curve: DataFrame) -> DataFrame:
     """(arr, n, knee) of curves: the place of the greatest height over the diagonal, 1 if flat, null if none or under 3 points."""
-    rows = curve.select("arr", "seen", (F.row_number().over(IN_ORDER) - 1).alias("k"), F.count(F.lit(1)).over(BY).alias("n"), F.min("seen").over(BY).alias("low"), F.max("seen").over(BY).alias("high"))
+    rows = curve.select("arr", "seen", (F.row_number().over(_in_order()) - 1).alias("k"), F.count(F.lit(1)).over(_by()).alias("n"), F.min("seen").over(_by()).alias("low"), F.max("seen").over(_by()).alias("high"))
     above = F.round(F.try_divide(F.col("seen") - F.col("low"), F.col("high") - F.col("low")) - F.try_divide("k", F.col("n") - 1), 9)
     best = rows.groupBy("arr").agg(F.max("n").alias("n"), F.max("low").alias("low"), F.max("high").alias("high"), F.max(F.struct(above.alias("d"), (-F.col("k")).alias("at"))).alias("top"))
     found = F.when(F.col("n") < 3, None).when(F.col("high") == F.col("low"), 1).when(F.col("top.d") >= 0.05, 1 - F.col("top.at"))
@@ -596,7 +602,7 @@ def a28_string_crush(spark, sf_dir):
 
 def string_crush(items: DataFrame, first: int, last: int, stride: int) -> DataFrame:
     size = F.length("item")
-    unusual = F.abs(size - F.avg(size).over(BY)) > 2 * F.stddev_samp(size).over(BY)
+    unusual = F.abs(size - F.avg(size).over(_by())) > 2 * F.stddev_samp(size).over(_by())
     keep = is_error() | F.coalesce(unusual, F.lit(False)) | (F.col("idx") < first) | (F.col("idx") >= F.col("n") - last)
     rows = items.withColumn("keep", keep)
     same = Window.partitionBy("arr", "item")
@@ -609,8 +615,8 @@ def a29_number_crush(spark, sf_dir):
     """Of each user's values: two-sigma outliers, change points, the first five, the last three, and every eighth."""
     items = _events(spark, sf_dir)
     x = F.col("value")
-    before, after = F.avg(x).over(IN_ORDER.rowsBetween(-5, -1)), F.avg(x).over(IN_ORDER.rowsBetween(0, 4))
-    point = (F.col("n") > 10) & F.col("idx").between(5, F.col("n") - 5) & (F.abs(after - before) > 2 * F.stddev_samp(x).over(BY))
+    before, after = F.avg(x).over(_in_order().rowsBetween(-5, -1)), F.avg(x).over(_in_order().rowsBetween(0, 4))
+    point = (F.col("n") > 10) & F.col("idx").between(5, F.col("n") - 5) & (F.abs(after - before) > 2 * F.stddev_samp(x).over(_by()))
     kept = items.withColumn("keep", is_anomaly("value") | point | (F.col("idx") < 5) | (F.col("idx") >= F.col("n") - 3) | (F.col("idx") % 8 == 0))
     return kept.where("keep").select(F.col("arr").alias("user_id"), "idx")
 

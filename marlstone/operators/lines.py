@@ -13,10 +13,22 @@ from marlstone.plans.registry import Registry
 from marlstone.sources.tables import read
 
 query = Registry()
-BY = Window.partitionBy("doc")
-IN_ORDER = BY.orderBy("idx")
-UPTO = IN_ORDER.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-BEFORE = IN_ORDER.rowsBetween(Window.unboundedPreceding, -1)
+
+# Windows need a session: they are made where they are used.
+def _by():
+    return Window.partitionBy("doc")
+
+
+def _in_order():
+    return _by().orderBy("idx")
+
+
+def _upto():
+    return _in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _before():
+    return _in_order().rowsBetween(Window.unboundedPreceding, -1)
 
 # Line patterns that open a stack trace, and that mark a summary.
 STACK_STARTS = [r"^\s*Traceback \(most recent call last\)", r'^\s*File ".+", line [0-9]+', r"^\s*at .+\(.+:[0-9]+:[0-9]+\)", r"^\s+at [A-Za-z0-9_.$]+\(", r"^\s*--> .+:[0-9]+:[0-9]+", r"^\s*[0-9]+:\s+0x[0-9a-f]+"]
@@ -131,8 +143,8 @@ def collapse_identical(text: Column) -> Column:
 def parse(lines: DataFrame, stack_lines: int = 20) -> DataFrame:
     """Adds level, stack, summary and score. A stack trace runs from its start over `stack_lines` + 1 lines or to a blank one."""
     opens = any_of(F.col("line"), STACK_STARTS)
-    start = F.last(F.when(opens, F.col("idx")), ignorenulls=True).over(UPTO)
-    blank = F.last(F.when(F.trim("line") == "", F.col("idx")), ignorenulls=True).over(BEFORE)
+    start = F.last(F.when(opens, F.col("idx")), ignorenulls=True).over(_upto())
+    blank = F.last(F.when(F.trim("line") == "", F.col("idx")), ignorenulls=True).over(_before())
     rows = lines.withColumns({"level": level(F.col("line")), "summary": any_of(F.col("line"), SUMMARIES)})
     inside = start.isNotNull() & (F.col("idx") - start <= stack_lines) & (blank.isNull() | (blank < start))
     rows = rows.withColumn("stack", inside)
@@ -153,17 +165,17 @@ def select_log(
     rows = rows.withColumns({"edge": (first == 1) | (last == 1), "of_level": F.count(F.lit(1)).over(same)})
     rank = F.row_number().over(same.orderBy(F.desc("edge"), F.desc("score"), "idx"))
     fresh = (F.col("level") == "WARN") & (F.row_number().over(Window.partitionBy("doc", "level", "normal").orderBy("idx")) == 1)
-    rows = rows.withColumns({"rank": rank, "fresh": fresh, "opens": F.col("stack") & ~F.coalesce(F.lag("stack").over(IN_ORDER), F.lit(False))})
-    rows = rows.withColumns({"warning": F.row_number().over(Window.partitionBy("doc", "fresh").orderBy("idx")), "trace": F.count_if("opens").over(UPTO)})
+    rows = rows.withColumns({"rank": rank, "fresh": fresh, "opens": F.col("stack") & ~F.coalesce(F.lag("stack").over(_in_order()), F.lit(False))})
+    rows = rows.withColumns({"warning": F.row_number().over(Window.partitionBy("doc", "fresh").orderBy("idx")), "trace": F.count_if("opens").over(_upto())})
     rows = rows.withColumn("depth", F.row_number().over(Window.partitionBy("doc", "stack", "trace").orderBy("idx")))
     chosen = (
         (F.col("level").isin("ERROR", "FAIL") & (F.col("rank") <= max_errors)) | (F.col("fresh") & (F.col("warning") <= max_warnings))
         | (F.col("stack") & (F.col("trace") <= max_stacks) & (F.col("depth") <= stack_lines)) | F.col("summary")
     )
     rows = rows.withColumn("chosen", F.coalesce(chosen, F.lit(False)))
-    near = F.max("chosen").over(IN_ORDER.rowsBetween(-context, context))
+    near = F.max("chosen").over(_in_order().rowsBetween(-context, context))
     kept = rows.withColumn("near", near).where("near")
-    best = F.row_number().over(BY.orderBy(F.desc("score"), "idx"))
+    best = F.row_number().over(_by().orderBy(F.desc("score"), "idx"))
     return kept.withColumn("best", best).where(F.col("best") <= limit).select("doc", "idx", "line", "score")
 
 
@@ -178,12 +190,12 @@ def select_search(matches: DataFrame, words: list[str], limit: int, per_file: in
     rows = matches.withColumn("score", F.round(F.least(F.lit(1.0), score + boost), 4))
     file = Window.partitionBy("doc", "file")
     rows = rows.withColumns({"total": F.round(F.sum("score").over(file), 4), "began": F.min("idx").over(file)})
-    rows = rows.withColumn("place", F.dense_rank().over(BY.orderBy(F.desc("total"), "began"))).where(F.col("place") <= max_files)
+    rows = rows.withColumn("place", F.dense_rank().over(_by().orderBy(F.desc("total"), "began"))).where(F.col("place") <= max_files)
     first, last = F.row_number().over(file.orderBy("idx")), F.row_number().over(file.orderBy(F.desc("idx")))
     rows = rows.withColumn("edge", F.when(first == 1, 0).when(last == 1, 1).otherwise(2))
     rows = rows.withColumn("r", F.row_number().over(file.orderBy("edge", F.desc("score"), "idx"))).where(F.col("r") <= per_file)
     # File by file until the limit; inside a file in the order of choice.
-    turn = F.row_number().over(BY.orderBy("place", "r"))
+    turn = F.row_number().over(_by().orderBy("place", "r"))
     return rows.withColumn("turn", turn).where(F.col("turn") <= limit).select("doc", "file", "line_no", "idx", "line", "score")
 
 
@@ -488,19 +500,19 @@ def t18_compiler_lines(spark, sf_dir):
 
 def prefilter(lines: DataFrame, strategy: str, limit: int, head: int, tail: int, important: str = "error|Error|ERROR|failed|FAILED") -> DataFrame:
     """Lines that a tool profile keeps: `search` and `log` prefer important lines, `code` strides, `list` takes distinct ones."""
-    n = F.count(F.lit(1)).over(BY)
+    n = F.count(F.lit(1)).over(_by())
     rows = lines.withColumn("n", n)
     if strategy == "list":
         fresh = (F.trim("line") != "") & (F.row_number().over(Window.partitionBy("doc", F.trim("line")).orderBy("idx")) == 1)
         rows = rows.withColumn("fresh", fresh).where("fresh")
-        return rows.withColumn("r", F.row_number().over(IN_ORDER)).where(F.col("r") <= limit).select("doc", "idx", "line")
+        return rows.withColumn("r", F.row_number().over(_in_order())).where(F.col("r") <= limit).select("doc", "idx", "line")
     edge = (F.col("idx") < head) | (F.col("idx") >= F.col("n") - tail)
     if strategy == "code":
         step = F.greatest(F.lit(1), F.floor((F.col("n") - head - tail) / F.greatest(F.lit(1), F.lit(limit - head - tail))))
         keep = (F.col("n") <= limit) | edge | ((F.col("idx") - head) % step == 0)
         return rows.where(keep).select("doc", "idx", "line")
     order = F.when(edge, 0).when(F.col("line").rlike(important), 1).otherwise(2)
-    rows = rows.withColumn("order", order).withColumn("r", F.row_number().over(BY.orderBy("order", "idx")))
+    rows = rows.withColumn("order", order).withColumn("r", F.row_number().over(_by().orderBy("order", "idx")))
     return rows.where((F.col("n") <= limit) | (F.col("r") <= limit)).select("doc", "idx", "line")
 
 

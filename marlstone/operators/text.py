@@ -54,11 +54,6 @@ def lexical_richness(spark, sf_dir):
     )
 
 
-def error_documents(spark, sf_dir):
-    """Documents whose lower-case text holds an error keyword."""
-    return _docs(spark, sf_dir).where(F.lower("text").rlike("|".join(ERROR_KEYWORDS))).select("doc_id")
-
-
 def log_levels(spark, sf_dir):
     """Lines built from events, counted by the first level that they name."""
     line = F.concat_ws(" ", F.upper("event_type"), "props")
@@ -100,7 +95,7 @@ def token_estimate(spark, sf_dir):
     return docs.groupBy("source").agg(F.sum(estimate).cast("long").alias("tokens"))
 
 
-_FUNCTIONS = (text_counts, character_ratios, lexical_richness, error_documents, log_levels, collapsed_lines, distinct_lines, dropped_paragraphs, html_waste, token_estimate)
+_FUNCTIONS = (text_counts, character_ratios, lexical_richness, log_levels, collapsed_lines, distinct_lines, dropped_paragraphs, html_waste, token_estimate)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 _D = "(SELECT doc_id, coalesce(text, '') AS text FROM documents)"
 _L = f"(SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')) AS l FROM {_D})"
@@ -111,7 +106,6 @@ ORACLES = {
     "text_counts": rf"SELECT doc_id, length(text)::BIGINT AS n_chars, len(regexp_extract_all(text, '{_WORD}'))::BIGINT AS n_words, len(string_split(text, chr(10)))::BIGINT AS n_lines, len(regexp_extract_all(text, '[.!?]+'))::BIGINT AS n_sentences, p.n AS n_paragraphs FROM {_D} JOIN (SELECT doc_id AS k, len(p)::BIGINT AS n FROM {_P}) p ON doc_id = k",
     "character_ratios": f"SELECT doc_id, {_SHARE.format('A-Z', 'upper')}, {_SHARE.format('0-9', 'digit')}, {_SHARE.format(r'\x20\x09-\x0D', 'blank')} FROM {_D}",
     "lexical_richness": f"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM {_D}), c AS (SELECT doc_id, word, count(*) AS c FROM w GROUP BY ALL), p AS (SELECT doc_id, sum(c)::DOUBLE AS n, count(*) AS types, count(*) FILTER (c = 1) AS once, sum(c * c)::DOUBLE AS m2 FROM c GROUP BY 1) SELECT doc_id, round(types / n, 6) AS type_token, round(once / n, 6) AS hapax, round(10000.0::DOUBLE * (m2 - n) / (n * n), 4) AS yule_k FROM p",
-    "error_documents": f"SELECT doc_id FROM {_D} WHERE regexp_matches(lower(text), '{'|'.join(ERROR_KEYWORDS)}')",
     "log_levels": f"SELECT CASE {_LEVEL} ELSE 'OTHER' END AS level, count(*) AS n FROM (SELECT concat_ws(' ', upper(event_type), props) AS line FROM events) GROUP BY 1",
     "collapsed_lines": f"SELECT doc_id, len(l)::BIGINT AS n_lines, len(list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1]))::BIGINT AS n_runs FROM {_L}",
     "distinct_lines": f"SELECT doc_id, len(list_distinct(list_filter(l, lambda x: x <> '')))::BIGINT AS n_distinct FROM {_L}",

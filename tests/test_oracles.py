@@ -21,14 +21,18 @@ def duck():
 
 
 def canonical(rows):
-    return sorted((tuple(round(v, 2) if isinstance(v, float) and not math.isnan(v) else str(v) for v in r) for r in rows), key=str)
+    return sorted((tuple(round(v, 4) if isinstance(v, float) and not math.isnan(v) else str(v) for v in r) for r in rows), key=str)
+
+
+#: Queries that SQL cannot tell; tests/test_operators.py compares their operators with brute force.
+WITHOUT_SQL = {"dd2_j7_minhash", "q1_q2_rouge", "tf4_compression"}
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, duck, name):
     got = QUERIES[name](spark, DATA)
     want = duck.execute(ORACLES[name])
