@@ -5,7 +5,7 @@ index by blocks of bits can promise to find. So the links of the SimHash index (
 checked on the whole sets, and a prefix filter completes them: sets whose similarity reaches SHARE have a common member
 among the first n - ceil(SHARE * n) + 1 of each in any one order of all shingles, so texts are dealt by those and no pair
 is missed. The order puts shingles that a sample of texts often holds last; it decides the work, not the result. In a
-bucket each text is first checked against LEADS others of its size, then the pairs that are still in different components
+bucket texts are first checked against some leads of their size, in rounds (STARS), then the pairs that are still in different components
 are checked: a bucket of near copies costs its size, not its pairs. A pair counts in a bucket only if what stands behind
 the bucket's shingle in both sets can still reach SHARE (positional filter): for the first shingle that both have, that
 bounds their whole overlap. Shingles and texts are known by 64-bit hashes.
@@ -32,8 +32,8 @@ WIDTH = 5
 UP, DOWN = 4, 5
 SAMPLE, COMMON = 20_000, 200_000
 BROADCAST_BYTES = 64 << 20
-#: Texts of a bucket with which the others of their size are compared first.
-LEADS = 12
+#: Rounds of stars: leads in a bucket, one bucket of so many, salt of the choice.
+STARS = ((10, 2, 0), (64, 1, 7))
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -186,7 +186,7 @@ def _emit(parts):
     for a, b in parts:
         held.append(np.stack([np.maximum(a, b), np.minimum(a, b)], 1))
         size += len(a)
-        if size >= 1 << 16:
+        if size >= 1 << 18:
             rows = np.unique(np.concatenate(held), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0].copy()), pa.array(rows[:, 1].copy())], ["u", "v"])
             held, size = [], 0
@@ -195,25 +195,32 @@ def _emit(parts):
         yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0].copy()), pa.array(rows[:, 1].copy())], ["u", "v"])
 
 
-def _stars(batches):
-    """Each text of a bucket (h, n, k, p) with LEADS others, evenly spread over those whose sizes allow a link."""
+def _stars(leads: int, one_in: int, salt: int):
+    """Texts of a bucket (h, n, k, p, c) with `leads` others of other components c whose sizes allow a link.
 
-    def parts():
+    Leads are those of the smallest hash, so that the buckets of one group of near copies have the same ones. One bucket
+    in `one_in` is enough, for the texts of such a group meet in many; what is missed is left to _rest.
+    """
+
+    def parts(batches):
         for rows in _buckets(batches):
-            n, k = rows[:, 1], rows[:, 2]
+            n, k, c = rows[:, 1], rows[:, 2], rows[:, 4]
+            if rows[0, 0] % one_in or np.all(c == c[0]):
+                continue
+            order = k * np.int64(2 * salt + 1) ^ np.int64(salt)
             start = 0
             while start < len(rows) - 1:
                 end = int(np.searchsorted(n, DOWN * n[start] // UP, "right"))
-                for lead in {start + (end - start) * j // LEADS for j in range(LEADS)}:
+                first = np.argpartition(order[start:end], leads - 1)[:leads] if end - start > leads else np.arange(end - start)
+                for lead in (start + first).tolist():
                     span = slice(start, min(len(rows), int(np.searchsorted(n, DOWN * n[lead] // UP, "right"))))
-                    near = _reaches(rows, lead, span) & (DOWN * n[span] >= UP * n[lead])
-                    near[lead - start] = False
+                    near = _reaches(rows, lead, span) & (DOWN * n[span] >= UP * n[lead]) & (c[span] != c[lead])
                     other = k[span][near]
                     if len(other):
                         yield np.full(len(other), k[lead]), other
                 start = max(end, start + 1)
 
-    yield from _emit(parts())
+    return lambda batches: _emit(parts(batches))
 
 
 def _rest(batches):
@@ -287,19 +294,27 @@ def components(texts: DataFrame, first: DataFrame) -> DataFrame:
     shared = common.stored(by_bucket(dealt).mapInArrow(_shared, _BUCKET), "shared")
     common.tidy(spark)
     found = simhash.links(features.select(F.col("k").alias("doc_id"), "fp"))
-    stars = by_bucket(shared).mapInArrow(_stars, "u long, v long")
-    tried = common.stored(stars.unionByName(found).distinct(), "stars")
-    links = _linked(tried, texts, features, first)
-    common.tidy(spark)
-    roots = simhash.components(links)
-    named = shared.join(roots, shared.k == roots.node, "left").select("h", "n", "k", "p", F.coalesce("root", "k").alias("c"))
-    rest = by_bucket(named).mapInArrow(_rest, "u long, v long").distinct()
-    rest = common.stored(rest.join(tried, ["u", "v"], "left_anti"), "rest")
-    common.tidy(spark)
-    more = _linked(rest, texts, features, first)
-    common.tidy(spark)
+
+    def compare(candidates, tried, links, name):
+        """(pairs tried, links) with the candidates that were not tried before."""
+        new = candidates.distinct() if tried is None else candidates.distinct().join(tried, ["u", "v"], "left_anti")
+        new = common.stored(new, name)
+        linked = _linked(new, texts, features, first)
+        common.tidy(spark)
+        return (new, linked) if tried is None else (tried.unionByName(new), links.unionByName(linked))
+
+    def named(links):
+        roots = simhash.components(links)
+        return by_bucket(shared.join(roots, shared.k == roots.node, "left").select("h", "n", "k", "p", F.coalesce("root", "k").alias("c")))
+
+    pairs = "u long, v long"
+    start = by_bucket(shared).withColumn("c", F.col("k")).mapInArrow(_stars(*STARS[0]), pairs)
+    tried, links = compare(start.unionByName(found), None, None, "stars")
+    for k, star in enumerate(STARS[1:]):
+        tried, links = compare(named(links).mapInArrow(_stars(*star), pairs), tried, links, f"stars{k}")
+    _, links = compare(named(links).mapInArrow(_rest, pairs), tried, links, "rest")
     # The result is one small table more; all others of this search go.
-    roots = common.stored(simhash.components(links.unionByName(more)), "roots")
+    roots = common.stored(simhash.components(links), "roots")
     common.release(spark, begun, keep=("roots",))
     return roots
 
