@@ -16,15 +16,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 Tree = dict[str, dict[str, dict[int, float]]]
 
 
-def tree(shards: int = 16, region: int = 8, rack: int = 4) -> Tree:
+def tree(shards: int = 16, built: int = 16, region: int = 8, rack: int = 4) -> Tree:
+    """The tree of so many shards, by their number alone: the first `built` in regions and racks, each later one in a
+    region of its own. So tree(n + 1) is grow(tree(n)) from `built` on, and takes rows only into its new shard."""
     out: Tree = {}
-    for s in range(shards):
+    for s in range(min(shards, built)):
         out.setdefault(f"r{s // region}", {}).setdefault(f"k{s % region // rack}", {})[s] = 1.0
+    for _ in range(built, shards):
+        out = grow(out)
     return out
 
 
 def grow(base: Tree, weight: float = 1.0) -> Tree:
-    """One more shard, in a region of its own."""
+    """One more shard, in a region of its own: inside an old region it would take rows into its neighbours too."""
     new = 1 + max((s for racks in base.values() for shards in racks.values() for s in shards), default=-1)
     return {**base, f"own{new}": {"k0": {new: weight}}}
 

@@ -335,6 +335,13 @@ def test_gray_index():
     assert index.root.tolist() == label.tolist()
 
 
+def test_growing_tree(spark):
+    assert sharding.tree(17) == sharding.grow(sharding.tree(16)) and sharding.tree(18) == sharding.grow(sharding.tree(17))
+    keys = spark.range(5000).select(*[sharding.shard_of(F.col("id"), sharding.tree(n)).alias(f"s{n}") for n in (16, 17, 20)]).collect()
+    assert all(r.s17 in (r.s16, 16) and r.s20 in (r.s17, 17, 18, 19) for r in keys)
+    assert {r.s20 for r in keys} == set(range(20))
+
+
 def test_near_duplicates_stage(spark):
     rng = np.random.default_rng(11)
     words, line = [f"w{i}" for i in range(500)], " a line that stands in every one of these texts"
