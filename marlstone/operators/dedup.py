@@ -161,7 +161,7 @@ _PARTS = "list_filter(list_transform(string_split(coalesce(text, ''), chr(10)),
 @query(f"WITH p AS (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS t FROM (SELECT doc_id, {_PARTS} AS l FROM documents)), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, t ORDER BY i) AS r FROM p) SELECT doc_id, count(*) AS n, md5(string_agg(t, chr(10) ORDER BY i)) AS text_md5 FROM f WHERE r = 1 GROUP BY 1")
 def dd6_dd7_distinct_parts(spark, sf_dir):
     """Each text with the first of its equal lines only, as a digest."""
-    parts = F.array_distinct(F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), F.trim), lambda x: x != ""))
+    parts = F.array_distinct(F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != ""))
     return read(spark, sf_dir, "documents").select("doc_id", parts.alias("p")).where(F.size("p") > 0).select("doc_id", F.size("p").cast("long").alias("n"), F.md5(F.array_join("p", "\n")).alias("text_md5"))
 
 

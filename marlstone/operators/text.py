@@ -22,7 +22,7 @@ def _docs(spark, sf_dir):
 
 
 def _lines():
-    return F.transform(F.split("text", "\n"), F.trim)
+    return F.transform(F.split("text", "\n"), lambda x: F.trim(x))
 
 
 def text_counts(spark, sf_dir):
@@ -77,7 +77,7 @@ def distinct_lines(spark, sf_dir):
 
 def dropped_paragraphs(spark, sf_dir):
     """Paragraphs equal, when trimmed, to an earlier one of their document."""
-    parts = F.filter(F.transform(F.split("text", "\n\n"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split("text", "\n\n"), lambda x: F.trim(x)), lambda x: x != "")
     docs = _docs(spark, sf_dir).select("doc_id", parts.alias("p"))
     return docs.select("doc_id", (F.size("p") - F.size(F.array_distinct("p"))).cast("long").alias("n_dropped"))
 
