@@ -110,6 +110,7 @@ def pack(
                 ],
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
             )
+        enc.rest()
 
     bearing = F.lit(None).cast("long") if loss is None else F.col(loss).cast("long")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", bearing.alias("loss")).mapInArrow(pieces, _PIECES)

@@ -38,6 +38,7 @@ def fill(docs: DataFrame, cache_path: str, tokenizer: str) -> None:
         for cut in common.gathered(batches, "text"):
             _, ends = enc.encode(common.text_or_empty(cut.column(1)))
             yield pa.RecordBatch.from_arrays([cut.column(0).cast(pa.binary()), pa.array(np.diff(ends).astype(np.int64))], ["digest", "n_tokens"])
+        enc.rest()
 
     text = F.coalesce("text", F.lit(""))
     known = open_cache(spark, cache_path).where(F.col("tokenizer") == version).select("digest")

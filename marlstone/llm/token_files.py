@@ -135,6 +135,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
                 ["part", "seq", "before", "n_ids", "doc_ids", "block"],
             )
             seq, before = seq + 1, before + len(ids)
+        enc.rest()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(

@@ -8,6 +8,8 @@ unusual white space, go through the library's full encode(). The result equals e
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 import json
 import os
@@ -131,30 +133,27 @@ class Encoder:
         self.uses[numbers] += 1
         return numbers
 
-    def _forget(self) -> None:
-        keep = self.uses > 1
-        if keep.sum() > self.max_cached // 2:
-            keep &= self.uses > np.median(self.uses[keep])
+    def _keep(self, keep: np.ndarray) -> None:
+        """Forget all pieces but those marked."""
         begin = np.cumsum(self.sizes) - self.sizes
         self.pool = self.pool[ranges(begin[keep], self.sizes[keep])]
         self.pieces = dict(zip(compress(self.pieces, keep.tolist()), range(int(keep.sum()))))
         self.sizes, self.uses = self.sizes[keep], np.minimum(self.uses[keep], 2)
 
-    def _piece(self, piece: str, lead: str) -> tuple[int, ...]:
-        if not piece:
-            return ()
-        if not _SIMPLE.match(piece) or "<|" in piece:
-            return tuple(self.library.encode(lead + piece, add_special_tokens=False).ids)
-        if self.kind == "words":
-            piece = piece.lower()
-            if piece.isalpha():
-                return self._segment(piece)
-            return tuple(i for s in _SEGMENT.findall(piece) if s != "\n" for i in (self._segment(s) if not s.isdigit() else (j for d in s for j in self._segment(d))))
-        parts = _SEGMENT.findall(lead + piece if not lead else piece)
-        out = self._segment(lead + parts[0])
-        for s in parts[1:]:
-            out += self._segment(s)
-        return out
+    def _forget(self) -> None:
+        keep = self.uses > 1
+        if keep.sum() > self.max_cached // 2:
+            keep &= self.uses > np.median(self.uses[keep])
+        self._keep(keep)
+
+    def rest(self, kept: int = 20_000) -> None:
+        """Between tasks: keep the pieces used most, and give memory back, for a worker may idle beside others."""
+        if len(self.pieces) > kept:
+            self._keep(self.uses >= max(2, int(np.partition(self.uses, -kept)[-kept])))
+        self._forget_segments()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, offsets of length n + 1). No text may be null."""
