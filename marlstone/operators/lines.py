@@ -401,7 +401,7 @@ def _matches(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     rows = read(spark, sf_dir, "events").withColumn("k", _k())
     more = F.when(F.col("k") % 6 == 0, " todo fix").when(F.col("k") % 6 == 1, " warning here").otherwise("")
-    return rows.select(F.col("user_id").alias("doc"), F.format_string("src/mod%d.py", F.col("k") % 14).alias("file"), (F.col("k") * 3 + 1).alias("line_no"), (F.row_number().over(w) - 1).alias("idx"), F.concat("event_type", more, F.lit(" cart "), F.col("k").cast("string")).alias("line"))
+    return rows.select(F.col("user_id").alias("doc"), F.format_string("src/mod%d.py", F.col("k") % 14).alias("file"), (F.col("k") * 3 + 1).alias("line_no"), (F.row_number().over(w) - 1).cast("long").alias("idx"), F.concat("event_type", more, F.lit(" cart "), F.col("k").cast("string")).alias("line"))
 
 
 _IMPORTANT = "|".join(w for n in ("error", "importance", "warning") for w in SIGNAL_WORDS[n])
@@ -494,7 +494,7 @@ def t18_compiler_lines(spark, sf_dir):
     w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
     text = F.when(F.col("l_quantity") < 25, F.concat(F.lit("warning: unused "), "l_returnflag")).otherwise(F.concat(F.lit("note [2024-01-0"), F.col("l_linenumber").cast("string"), F.lit("T10:00:00Z] "), "l_linestatus"))
     line = F.concat(F.format_string("/home/dev/my-app/src/f%d.c:%d:1: ", "l_partkey", "l_linenumber"), text)
-    lines = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc"), F.row_number().over(w).alias("idx"), line.alias("line"))
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc"), F.row_number().over(w).cast("long").alias("idx"), line.alias("line"))
     return compiler_lines(lines).withColumnRenamed("doc", "l_suppkey")
 
 

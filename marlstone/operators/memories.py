@@ -249,7 +249,7 @@ def m8_recency_rank(spark, sf_dir):
 def m9_injection(spark, sf_dir):
     """Memories to inject: a score of .3 or more, ten at most, within a token budget."""
     rows = memories(spark, sf_dir).where("importance >= 0.3").select("user_id", "id", F.col("importance").alias("score"), F.ceil(F.length("content") / 4.0).alias("cost"))
-    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "id"))).where("place <= 10")
+    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "id")).cast("long")).where("place <= 10")
     return pack_stopping(ranked, "user_id", 60).select("user_id", "id", "place")
 
 
@@ -289,7 +289,7 @@ def m15_sc3_eviction(spark, sf_dir):
 def eviction_order(rows: DataFrame, policy: str, scope: str) -> DataFrame:
     """Adds `turn`: 1 goes first. lru: last used, lfu: least used, fifo: oldest, ttl: expires first."""
     key = {"lru": ["used"], "lfu": ["access", "used"], "fifo": ["created"], "ttl": [F.asc_nulls_last("expires")]}[policy]
-    return rows.withColumn("turn", F.row_number().over(Window.partitionBy(scope).orderBy(*key, "id")))
+    return rows.withColumn("turn", F.row_number().over(Window.partitionBy(scope).orderBy(*key, "id")).cast("long"))
 
 
 @query(f"WITH {_M}, u AS (SELECT *, created + access * INTERVAL 1 DAY AS used FROM m), o AS (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY used, id) AS lru, row_number() OVER (PARTITION BY user_id ORDER BY access, used, id) AS lfu, row_number() OVER (PARTITION BY user_id ORDER BY created, id) AS fifo, row_number() OVER (PARTITION BY user_id ORDER BY expires NULLS LAST, id) AS ttl FROM u) SELECT * FROM o WHERE least(lru, lfu, fifo, ttl) <= 2")

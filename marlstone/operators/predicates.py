@@ -142,7 +142,7 @@ _SECTIONS = f"""WITH {_MIXED}, l AS (SELECT doc_id, generate_subscripts(l, 1) -
 a AS (SELECT *, regexp_matches(line, '^```') AS fence, sum(regexp_matches(line, '^```')::INT) OVER (PARTITION BY doc_id ORDER BY i) AS f FROM l),
 b AS (SELECT *, CASE WHEN f % 2 = 1 OR fence THEN 'code' WHEN regexp_matches(line, '^\\s*[\\[{{].*[\\]}}]\\s*$') THEN 'json' WHEN regexp_matches(line, '^\\S+:[0-9]+:') THEN 'search' ELSE 'text' END AS type FROM a),
 c AS (SELECT *, sum((type IS DISTINCT FROM before OR (fence AND f % 2 = 1))::INT) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM (SELECT *, lag(type) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM b))
-SELECT doc_id, section, min(type) AS type, count(*) AS n_lines, md5(string_agg(line, chr(10) ORDER BY i)) AS text_md5 FROM c GROUP BY 1, 2"""
+SELECT doc_id, CAST(section AS BIGINT) AS section, min(type) AS type, count(*) AS n_lines, md5(string_agg(line, chr(10) ORDER BY i)) AS text_md5 FROM c GROUP BY 1, 2"""
 
 
 def sections(texts):

@@ -242,7 +242,7 @@ def g11_perf_summary(spark, sf_dir):
     """Totals of all requests and by model, by falling savings."""
     s = requests(spark, sf_dir).rollup("model").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens_before").alias("before"), F.sum(F.col("tokens_before") - F.col("tokens_after")).alias("saved"))
     pct = F.when(F.col("before") > 0, F.round(F.col("saved") * 100.0 / F.col("before"), 1)).otherwise(0.0)
-    return s.select(F.coalesce("model", F.lit("all")).alias("model"), "n", "before", "saved", pct.alias("pct"), F.row_number().over(Window.orderBy(F.desc(F.col("model").isNull()), F.desc("saved"), "model")).alias("place"))
+    return s.select(F.coalesce("model", F.lit("all")).alias("model"), "n", "before", "saved", pct.alias("pct"), F.row_number().over(Window.orderBy(F.desc(F.col("model").isNull()), F.desc("saved"), "model")).cast("long").alias("place"))
 
 
 @query(f"WITH {_R}, x AS (SELECT 'rolling' AS span, model, tokens_before / (total_ms / 1000.0::DOUBLE) AS rate FROM r WHERE total_ms > 0 UNION ALL SELECT 'current', model, tokens_before / (total_ms / 1000.0::DOUBLE) FROM r WHERE total_ms > 0 AND ts >= (SELECT max(ts) FROM r) - INTERVAL 5 HOUR) SELECT key, share, round(q, 4) AS quantile FROM (SELECT span || '|' || model AS key, unnest([0.5::DOUBLE, 0.95::DOUBLE]) AS share, unnest(quantile_cont(rate, [0.5, 0.95])) AS q FROM x GROUP BY 1)")
@@ -609,7 +609,7 @@ def w18_t39_bookends(spark, sf_dir):
     top = F.col("k") <= F.ceil(F.col("n") * 0.4)
     zone = F.when(top & (F.col("k") % 2 == 1), 0).when(~top, 1).otherwise(2)
     at = F.when(zone == 0, F.col("k")).when(zone == 1, F.col("place")).otherwise(-F.col("k"))
-    return rows.withColumn("zone", zone).withColumn("at", at).select("instance", "id", F.row_number().over(w.orderBy("zone", "at")).alias("position"))
+    return rows.withColumn("zone", zone).withColumn("at", at).select("instance", "id", F.row_number().over(w.orderBy("zone", "at")).cast("long").alias("position"))
 
 
 @query(f"WITH {_R}, c AS (SELECT instance, model, count(*) AS c FROM r WHERE id % 3 > 0 OR instance % 4 > 0 OR model = 'gpt-large' GROUP BY ALL), m AS (SELECT instance, max(c) AS c, sum(c) AS n, arg_max(model, (c, model)) AS model FROM c GROUP BY 1) SELECT instance, CASE WHEN c >= n * 0.3::DOUBLE THEN model WHEN n < 50 THEN 'early' WHEN n < 65 THEN 'middle' ELSE 'late' END AS phase FROM m")
