@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text that one vectorised step holds at a time inside a Python worker.
 SLICE_BYTES = 4 << 20
 #: Bytes of text that an encoder takes at a time: more rows repeat more words.
-GATHER_BYTES = 2 << 20
+GATHER_BYTES = 4 << 20
 
 
 #: Folders of intermediate tables by application, until release() deletes them.
