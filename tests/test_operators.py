@@ -160,3 +160,28 @@ def test_clean_terminal_and_collapse(spark):
     text = "\x1b[31mred\x1b[0m\nload\rdone\n██ 40%\n⠋\n\n\n\nend"
     r = spark.createDataFrame([(text, "a\na\n\nb\n b\nb")], "t string, u string").select(lines.clean_terminal(F.col("t")).alias("a"), lines.collapse_identical(F.col("u")).alias("b")).first()
     assert r.a == "red\ndone\n\nend" and r.b == "a (x2)\nb (x3)"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_meets_no_pairs_of_rows(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    v = rng.integers(-2, 3, (3000, 3)).astype(float)
+    v[:2500] = v[0]  # ties by doc
+    rows = [(i, [float(x) for x in v[i]]) for i in range(3000)]
+    table = spark.createDataFrame(rows + [(3000, None), (3001, [1.0, None, 2.0]), (3002, [1.0]), (None, [1.0, 1.0, 1.0])], "doc long, v array<float>").repartition(3)
+    asked = table.where("doc % 100 = 0 and doc < 3000").select(F.col("doc").alias("query"), "v")
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    for size in (32 << 20, 8 * 3 * 7):
+        monkeypatch.setattr(search, "BLOCK_BYTES", size)
+        found = search.nearest(table, asked, 5, 0.1, dims=3)
+        assert "NestedLoop" not in plan(found) and "Cartesian" not in plan(found)
+        got = {}
+        for r in found.collect():
+            got.setdefault(r.query, {})[r["rank"]] = (r.doc, r.score)
+        for q in range(0, 3000, 100):
+            s = np.round(unit @ unit[q], 6)
+            want = sorted(((-s[d], d) for d in range(3000) if d != q and s[d] >= 0.1))[:5]
+            assert [got[q][k + 1] for k in range(len(want))] == [(d, pytest.approx(-x)) for x, d in want]
