@@ -185,3 +185,8 @@ def test_nearest_meets_no_pairs_of_rows(spark, monkeypatch):
             s = np.round(unit @ unit[q], 6)
             want = sorted(((-s[d], d) for d in range(3000) if d != q and s[d] >= 0.1))[:5]
             assert [got[q][k + 1] for k in range(len(want))] == [(d, pytest.approx(-x)) for x, d in want]
+
+
+def test_semantic_cache_meets_no_pairs_of_rows(spark):
+    found = search.r15_semantic_cache(spark, "/root/testdata/sf0.001")
+    assert "NestedLoop" not in plan(found) and "Cartesian" not in plan(found)
