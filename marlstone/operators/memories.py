@@ -14,7 +14,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from marlstone.operators.search import nearest, tokens, top
+from marlstone.operators.search import millionths, nearest, tokens, top
 from marlstone.plans.registry import Registry
 from marlstone.sources.tables import read
 
@@ -355,6 +355,18 @@ def m1_semantic_search(spark, sf_dir):
     return found.select("query", F.col("doc").alias("memory_id"), "rank", "score")
 
 
+def near_keys(rows: DataFrame, by: str, key: str, asked: Column, k: int) -> DataFrame:
+    """(key, other) of the rows `asked`: the k keys before and the k after it among those of its group, in order of key.
+
+    The k rows nearest to a key are among them. Rows of one key are counted and given as often as they occur, up to k
+    times; they are no neighbours of each other.
+    """
+    counted = rows.groupBy(by, key).agg(F.count(F.lit(1)).alias("c"))
+    around = F.collect_list(F.struct(F.col(key).alias("other"), F.col("c").alias("n"))).over(Window.partitionBy(by).orderBy(key).rowsBetween(-k, k))
+    pairs = counted.withColumn("o", around).where(asked).select(key, "c", F.explode("o").alias("o")).where(F.col("o.other") != F.col(key))
+    return pairs.select(key, "o.other", F.explode(F.sequence(F.lit(1), F.least(F.col("c") * F.col("o.n"), F.lit(k)))).alias("_")).drop("_")
+
+
 _M17 = "v AS (SELECT a.vec_id AS query, b.vec_id AS doc, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id), vr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS r FROM v) WHERE r <= 15)"
 
 
@@ -362,11 +374,11 @@ _M17 = "v AS (SELECT a.vec_id AS query, b.vec_id AS doc, round(list_cosine_simil
 def m17_hybrid_memory_search(spark, sf_dir):
     """Vectors and text fused: three times as many from each, text scores by their best, the five best of all."""
     rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"), "label")
-    asked = rows.where("doc % 100 = 0").select(F.col("doc").alias("query"), "v", "label")
-    vectors = nearest(rows.select("doc", "v"), asked.select("query", "v"), 15).select("query", "doc", F.col("score").alias("vs"))
-    text = rows.select("doc", "label").join(asked.select("query", "label"), "label").where("doc <> query").select("query", "doc", (1.0 / (1 + F.abs(F.col("doc") - F.col("query")))).alias("score"))
+    asked = rows.where("doc % 100 = 0").select(F.col("doc").alias("query"), "v")
+    vectors = nearest(rows.select("doc", "v"), asked, 15).select("query", "doc", F.col("score").alias("vs"))
+    text = near_keys(rows.where("label is not null"), "label", "doc", F.col("doc") % 100 == 0, 15).select(F.col("doc").alias("query"), F.col("other").alias("doc"), (1.0 / (1 + F.abs(F.col("other") - F.col("doc")))).alias("score"))
     text = top(text, 15).withColumn("ts", F.col("score") / F.max("score").over(Window.partitionBy("query"))).select("query", "doc", "ts")
-    fused = vectors.join(text, ["query", "doc"], "full").select("query", "doc", F.round(0.7 * F.coalesce("vs", F.lit(0.0)) + 0.3 * F.coalesce("ts", F.lit(0.0)), 6).alias("score"))
+    fused = vectors.join(text, ["query", "doc"], "full").select("query", "doc", millionths(0.7 * F.coalesce("vs", F.lit(0.0)) + 0.3 * F.coalesce("ts", F.lit(0.0))).alias("score"))
     return top(fused, 5)
 
 

@@ -190,3 +190,29 @@ def test_nearest_meets_no_pairs_of_rows(spark, monkeypatch):
 def test_semantic_cache_meets_no_pairs_of_rows(spark):
     found = search.r15_semantic_cache(spark, "/root/testdata/sf0.001")
     assert "NestedLoop" not in plan(found) and "Cartesian" not in plan(found)
+
+
+def test_hybrid_memory_search_meets_no_pairs_of_rows(spark):
+    found = memories.m17_hybrid_memory_search(spark, "/root/testdata/sf0.001")
+    assert "NestedLoop" not in plan(found) and "Cartesian" not in plan(found)
+    assert plan(found.select("query")).count("label") and "label#" not in "".join(x for x in plan(found).splitlines() if "Join" in x)
+
+
+def test_near_keys_equal_brute_force(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(g), int(i)) for g, i in zip(rng.integers(0, 3, 400), rng.integers(0, 900, 400))]
+    got = memories.near_keys(spark.createDataFrame(rows, "g int, i long"), "g", "i", F.col("i") % 10 == 0, 4).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.i, []).append((abs(r.other - r.i), r.other))
+    for q in {i for _, i in rows if i % 10 == 0}:
+        want = sorted((abs(o - i), o) for g, i in rows if i == q for h, o in rows if h == g and o != i)
+        assert sorted(found.get(q, []))[:4] == want[:4]
+
+
+def test_millionths_round_as_the_sql(spark):
+    import duckdb
+
+    xs = [0.7 * (i / 1e6) for i in range(999_000, 1_000_000, 5)]
+    got = [r.y for r in spark.createDataFrame([(x,) for x in xs], "x double").select(search.millionths(F.col("x")).alias("y")).collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 6)", [x]).fetchone()[0] for x in xs]
