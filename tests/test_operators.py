@@ -216,3 +216,10 @@ def test_millionths_round_as_the_sql(spark):
     xs = [0.7 * (i / 1e6) for i in range(999_000, 1_000_000, 5)]
     got = [r.y for r in spark.createDataFrame([(x,) for x in xs], "x double").select(search.millionths(F.col("x")).alias("y")).collect()]
     assert got == [duckdb.execute("SELECT round(?::DOUBLE, 6)", [x]).fetchone()[0] for x in xs]
+
+
+def test_last_hop_goes_only_where_asked(spark):
+    edges = spark.createDataFrame([("a", "b", "x"), ("b", "c", "x"), ("b", "d", "x"), ("a", "e", "x")], "source string, target string, type string")
+    found = graphs.reach(edges, spark.createDataFrame([("a",)], "start string"), 2, "out", last=F.col("there") == "d")
+    assert {r.node: r.depth for r in found.collect()} == {"a": 0, "b": 1, "e": 1, "d": 2}
+    assert "Join" not in plan(found)  # frontiers are cut off from their lineage
