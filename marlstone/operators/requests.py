@@ -119,20 +119,37 @@ def deltas(rows: DataFrame, by: list[str], order: list[str], total: str) -> Data
     return rows.withColumn("delta", F.greatest(F.col(total) - F.lag(total, 1, 0).over(w), F.lit(0)))
 
 
+def trailing_sums(rows: DataFrame, by: str, at: str, values: list[str], seconds: list[int]) -> DataFrame:
+    """(by, at, <value>_<seconds>): for each instant (microseconds) of a group, the sums of the rows of the seconds before it.
+
+    Rows of the same instant do not count. A sum is that of all rows before the instant less that of all rows before its
+    window; these are added up by minute, and within a minute by instant, so that a row costs the same in any window.
+    Sums of whole numbers are exact. Rows without an instant see each other, as in the frames of SQL.
+    """
+    unknown = rows.where(F.col(at).isNull()).groupBy(F.col(by), F.col(at)).agg(*[F.coalesce(F.sum(v), F.lit(0)).alias(f"{v}_{s}") for v in values for s in seconds])
+    ticks = rows.where(F.col(at).isNotNull()).groupBy(F.col(by).alias("by"), F.col(at).alias("at")).agg(*[F.coalesce(F.sum(v), F.lit(0)).alias(v) for v in values])
+    mark = lambda s: F.struct(F.lit(s).alias("back"), (F.col("at") - s * 1_000_000).alias("t"), *[(F.col(v) if s == 0 else F.col(v) * 0).alias(v) for v in values])
+    marks = ticks.select("by", "at", F.explode(F.array(*[mark(s) for s in (0, *seconds)])).alias("m")).select("by", "at", "m.*").withColumn("minute", F.floor(F.col("t") / 60_000_000))
+    upto = Window.partitionBy("by").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
+    starts = marks.groupBy("by", "minute").agg(*[F.sum(v).alias(v) for v in values]).select(F.col("by").alias("_by"), F.col("minute").alias("_minute"), *[F.coalesce(F.sum(v).over(upto), F.lit(0)).alias(f"_{v}") for v in values])
+    within = Window.partitionBy("by", "minute").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
+    before = marks.select("by", "at", "back", "minute", *[F.coalesce(F.sum(v).over(within), F.lit(0)).alias(v) for v in values])
+    before = before.join(starts, F.col("by").eqNullSafe(F.col("_by")) & (F.col("minute") == F.col("_minute")))
+    whole = lambda v, s: F.sum(F.when(F.col("back") == s, F.col(v) + F.col(f"_{v}")))
+    known = before.groupBy(F.col("by").alias(by), F.col("at").alias(at)).agg(*[(whole(v, 0) - whole(v, s)).alias(f"{v}_{s}") for v in values for s in seconds])
+    return known.unionByName(unknown)
+
+
 def spend_guard(rows: DataFrame, by: str, limits: dict[str, float]) -> DataFrame:
     """Adds the trailing sums before each request over a minute, an hour and a day, and the first limit that it breaks."""
-    ts = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = rows.withColumn("_at", ts)
-
-    def trailing(what, seconds):
-        # Requests of the same instant are not yet recorded.
-        w = Window.partitionBy(by).orderBy("_at").rangeBetween(-seconds * 1_000_000, -1)
-        return F.coalesce(F.sum(what).over(w), F.lit(0.0))
-
-    rows = rows.withColumns({
-        "minute_requests": trailing(F.lit(1), 60), "minute_tokens": trailing(F.col("tokens"), 60), "minute_cost": trailing(F.col("cost"), 60),
-        "hour_cost": trailing(F.col("cost"), 3600), "day_cost": trailing(F.col("cost"), 86400),
-    })
+    rows = rows.withColumns({"_at": F.unix_micros(F.col("ts").cast("timestamp")), "_one": F.lit(1)})
+    sums = trailing_sums(rows, by, "_at", ["_one", "tokens", "cost"], [60, 3600, 86400]).select(
+        F.col(by).alias("_by"), F.col("_at").alias("_tick"), F.col("_one_60").alias("minute_requests"), F.col("tokens_60").alias("minute_tokens"),
+        F.col("cost_60").alias("minute_cost"), F.col("cost_3600").alias("hour_cost"), F.col("cost_86400").alias("day_cost"),
+    )
+    names = [c for c in sums.columns if not c.startswith("_")]
+    rows = rows.join(sums, F.col(by).eqNullSafe(F.col("_by")) & F.col("_at").eqNullSafe(F.col("_tick")), "left").drop("_by", "_tick", "_one")
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in names})
     c, t = F.col("cost"), F.col("tokens")
     tests = [
         ("tokens_per_request", t > limits["tokens_per_request"]), ("cost_per_request", c > limits["cost_per_request"]),

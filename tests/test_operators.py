@@ -223,3 +223,19 @@ def test_last_hop_goes_only_where_asked(spark):
     found = graphs.reach(edges, spark.createDataFrame([("a",)], "start string"), 2, "out", last=F.col("there") == "d")
     assert {r.node: r.depth for r in found.collect()} == {"a": 0, "b": 1, "e": 1, "d": 2}
     assert "Join" not in plan(found)  # frontiers are cut off from their lineage
+
+
+def test_trailing_sums_equal_brute_force(spark):
+    rng = np.random.default_rng(10)
+    rows = [(int(g), int(t), int(v)) for g, t, v in zip(rng.integers(0, 2, 300), rng.integers(0, 400, 300) * 1_000_000 + rng.integers(0, 2, 300), rng.integers(0, 9, 300))] + [(0, None, 3), (0, None, 4), (None, 5, 2), (0, 7, None)]
+    found = requests.trailing_sums(spark.createDataFrame(rows, "g int, at long, v long"), "g", "at", ["v"], [1, 60, 300])
+    assert "RangeFrame, -" not in plan(found)  # no frame that moves along with its rows
+    got = {(r.g, r.at): (r.v_1, r.v_60, r.v_300) for r in found.collect()}
+    assert len(got) == len({r[:2] for r in rows}) and got[0, None] == (7, 7, 7)
+    for g, t in got:
+        if t is not None:
+            assert got[g, t] == tuple(sum(v or 0 for h, u, v in rows if h == g and u is not None and t - s * 1_000_000 <= u < t) for s in (1, 60, 300))
+
+
+def test_spend_guard_has_no_moving_frames(spark):
+    assert "RangeFrame, -" not in plan(requests.g43_w21_spend_guard(spark, "/root/testdata/sf0.001"))
