@@ -256,3 +256,11 @@ def test_message_scores_of_copies(spark):
     for c, t, _, x in rows:
         far = [1 - len(s & sets[c, t]) / len(s | sets[c, t]) for (d, u), s in sets.items() if x and d == c and u != t]
         assert got[c, t] == pytest.approx(sum(far) / len(far) if far else (1.0 if x else 0.0))
+
+
+def test_hybrid_scores_equal_queries_once(spark, monkeypatch):
+    asked, bm25 = [], search.bm25
+    monkeypatch.setattr(search, "bm25", lambda docs, doc, text, queries: asked.append(queries) or bm25(docs, doc, text, queries))
+    assert "NestedLoop" not in plan(search.r9_j18_hybrid(spark, "/root/testdata/sf0.1"))
+    texts = [r.text for q in asked for r in q.collect()]
+    assert len(texts) == len(set(texts))
