@@ -187,6 +187,55 @@ def test_nearest_meets_no_pairs_of_rows(spark, monkeypatch):
             assert [got[q][k + 1] for k in range(len(want))] == [(d, pytest.approx(-x)) for x, d in want]
 
 
+def nearest_of(ids, q, v, k):
+    import pyarrow as pa
+
+    types = pa.schema([("query", pa.int64()), ("doc", pa.int64()), ("score", pa.float64())])
+    batches = [pa.record_batch([pa.array(range(i, min(i + 4000, len(v)))), pa.array(list(v[i : i + 4000]))], ["doc", "v"]) for i in range(0, len(v), 4000)]
+    return [r for b in search._nearest_of([(ids, q)], k, -1.0, types)(iter(batches)) for r in zip(*b.to_pydict().values())]
+
+
+def test_nearest_screens_rows_before_it_scores_them():
+    import time
+
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(12_000, 64))
+    ids = np.arange(1200)
+
+    def seconds(f):
+        times = []
+        for _ in range(3):
+            began = time.process_time()
+            f()
+            times.append(time.process_time() - began)
+        return min(times)
+
+    assert seconds(lambda: nearest_of(ids, v[ids], v, 1)) < 2 * seconds(lambda: [(x := v[ids] @ v[i : i + 1000].T).argmax(1) + np.round(x).argmax(1) for i in range(0, len(v), 1000)])
+
+
+def test_nearest_in_tiles_equals_brute_force():
+    rng = np.random.default_rng(13)
+    v = rng.normal(size=(9000, 8))
+    v[rng.choice(9000, 3000)] = v[7]
+    v[5000:5040] = v[7] * (1 + 1e-7 * rng.normal(size=(40, 8)))  # differ in the seventh digit
+    v[[8, 700, 8999]] = 0
+    v[11] *= 1e200  # its norm is no usual number
+    for odd in (False, True):
+        v[4500] = np.nan if odd else 1.0
+        ids = np.arange(0, 9000, 100)
+        with np.errstate(all="ignore"):
+            norm = np.sqrt((v * v).sum(1))
+            x = v[ids] @ v.T / (norm[ids, None] * norm)
+        x[norm[ids, None] * norm == 0] = 0
+        x = np.floor(np.abs(x) * 1e6 + 0.5) * np.sign(x)
+        got = {}
+        for q, d, s in nearest_of(ids, v[ids], v, 3):
+            got.setdefault(q, []).append(d)
+        for i, q in enumerate(ids):
+            want = sorted((-(2e6 if np.isnan(x[i, d]) else x[i, d]), d) for d in range(9000) if d != q)[:3]
+            assert got[q] == [d for _, d in want]
+
+
 def test_semantic_cache_meets_no_pairs_of_rows(spark):
     found = search.r15_semantic_cache(spark, "/root/testdata/sf0.001")
     assert "NestedLoop" not in plan(found) and "Cartesian" not in plan(found)
