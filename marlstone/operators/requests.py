@@ -524,12 +524,21 @@ def g36_store_stats(spark, sf_dir):
 
 @query(f"WITH {_R}, h AS (SELECT instance, count(*) AS n, avg(tokens_after / tokens_before) AS ratio, avg((cached > 0)::INT) AS cache, avg(least(1.0::DOUBLE, tokens_after / 40000.0)) AS load FROM r GROUP BY 1) SELECT instance, n, round(0.4::DOUBLE * (1 - ratio) + 0.3::DOUBLE * cache + 0.3::DOUBLE * (1 - load), 6) AS health, CASE WHEN load >= 0.9 THEN 'critical' WHEN load >= 0.5 THEN 'warning' ELSE 'ok' END AS state FROM h")
 def g38_context_health(spark, sf_dir):
-    """A health score of each instance from its savings, cache hits and load."""
-    h = requests(spark, sf_dir).groupBy("instance").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.col("tokens_after") / F.col("tokens_before")).alias("ratio"), F.avg((F.col("cached") > 0).cast("double")).alias("cache"), F.avg(F.least(F.lit(1.0), F.col("tokens_after") / 40000.0)).alias("load")
+    """A health score of each instance from its savings, cache hits and load.
+
+    Doubles add up in the order of ids, as the SQL adds them over a table in that order: many scores lie halfway between
+    two results, where another order of the same sum falls otherwise.
+    """
+    w = Window.partitionBy("instance").orderBy("id", "ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ratio, load = F.col("tokens_after") / F.col("tokens_before"), F.least(F.lit(1.0), F.col("tokens_after") / 40000.0)
+    rows = requests(spark, sf_dir).select("instance", "id", "ts", (F.col("cached") > 0).cast("int").alias("hit"), ratio.alias("ratio"), load.alias("load"))
+    rows = rows.withColumns({"ratios": F.sum("ratio").over(w), "loads": F.sum("load").over(w), "k": F.row_number().over(w.orderBy("id", "ts"))})
+    h = rows.groupBy("instance").agg(
+        F.count(F.lit(1)).alias("n"), (F.max_by("ratios", "k") / F.count("ratio")).alias("ratio"), (F.sum("hit") / F.count("hit")).alias("cache"), (F.max_by("loads", "k") / F.count("load")).alias("load")
     )
     state = F.when(F.col("load") >= 0.9, "critical").when(F.col("load") >= 0.5, "warning").otherwise("ok")
-    return h.select("instance", "n", F.round(0.4 * (1 - F.col("ratio")) + 0.3 * F.col("cache") + 0.3 * (1 - F.col("load")), 6).alias("health"), state.alias("state"))
+    health = 0.4 * (1 - F.col("ratio")) + 0.3 * F.col("cache") + 0.3 * (1 - F.col("load"))
+    return h.select("instance", "n", (F.round(health * 1e6) / 1e6).alias("health"), state.alias("state"))
 
 
 @query(f"WITH {_R}, h AS (SELECT instance, id, ts, sha256(model || '|' || mode) AS h FROM r), d AS (SELECT *, lag(h) OVER (PARTITION BY instance ORDER BY ts, id) AS before FROM h) SELECT instance, id, h <> before AS drifted FROM d WHERE before IS NOT NULL")

@@ -343,3 +343,24 @@ def test_hybrid_scores_equal_queries_once(spark, monkeypatch):
     assert "NestedLoop" not in plan(search.r9_j18_hybrid(spark, "/root/testdata/sf0.1"))
     texts = [r.text for q in asked for r in q.collect()]
     assert len(texts) == len(set(texts))
+
+
+def test_context_health_adds_in_the_order_of_ids(spark, tmp_path):
+    import duckdb
+
+    # A table in order of ids, and the same rows in five files without order.
+    spark.read.parquet("/root/testdata/sf0.1/events.parquet").repartition(5, F.xxhash64("event_id", F.lit(1))).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect(config={"threads": 1})
+    con.execute("CREATE VIEW events AS SELECT * FROM '/root/testdata/sf0.1/events.parquet'")
+    want = sorted(con.execute(requests.ORACLES["g38_context_health"]).fetchall())
+    for folder in ("/root/testdata/sf0.1", str(tmp_path)):
+        got = requests.g38_context_health(spark, folder).select("instance", "n", "health", "state").collect()
+        assert sorted(map(tuple, got)) == want
+
+
+def test_context_health_of_unknown_sizes(spark, tmp_path):
+    rows = [(1, 7, "{}"), (2, 7, None), (3, 8, '{"k": 3}'), (4, 8, "{}"), (5, None, '{"k": 5}')]
+    table = spark.createDataFrame(rows, "event_id long, user_id long, props string").select("event_id", F.expr("timestamp_ntz'2024-01-01'").alias("ts"), "user_id", F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), "props")
+    table.write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.instance: (r.n, r.health, r.state) for r in requests.g38_context_health(spark, str(tmp_path)).collect()}
+    assert got == {7: (2, None, "critical"), 8: (2, 0.566588, "warning"), None: (1, 0.58425, "ok")}  # as in DuckDB
