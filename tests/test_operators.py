@@ -364,3 +364,40 @@ def test_context_health_of_unknown_sizes(spark, tmp_path):
     table.write.parquet(str(tmp_path / "events.parquet"))
     got = {r.instance: (r.n, r.health, r.state) for r in requests.g38_context_health(spark, str(tmp_path)).collect()}
     assert got == {7: (2, None, "critical"), 8: (2, 0.566588, "warning"), None: (1, 0.58425, "ok")}  # as in DuckDB
+
+
+def test_bm25_best_equals_ranked_bm25(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    words = [f"w{i}" for i in range(40)] + ["a_long_word", "another_long"]
+    text = lambda n: " ".join(rng.choice(words, n))
+    rows = [(i, text(rng.integers(0, 30))) for i in range(400)] + [(i, "w1 w2 a_long_word w3") for i in range(400, 440)]
+    rows += [(5, text(9)), (5, text(4)), (7, None), (None, text(5)), (None, text(6)), (441, None), (442, "")]
+    asked = [(i, text(rng.integers(1, 6))) for i in range(60)] + [(60, "w1 w1 a_long_word"), (None, "w2 w3"), (61, "unseen"), (62, None), (63, "w1 w1 w1 w2"), (63, "w1 w5")]
+    docs, queries = spark.createDataFrame(rows, "id long, text string").repartition(5), spark.createDataFrame(asked, "query long, text string")
+    for k, keep in ((3, None), (500, None), (4, spark.range(100, 420).withColumnRenamed("id", "doc"))):
+        hits = search.bm25(docs, "id", "text", queries).where("doc is not null").withColumn("score", F.round("score", 6))
+        want = search.top(hits if keep is None else hits.join(keep, "doc"), k).select("query", "doc", "score", "rank").collect()
+        for terms in (1_000_000, 50):
+            monkeypatch.setattr(search, "BLOCK_TERMS", terms)
+            got = search.bm25_best(docs, "id", "text", queries, k, keep).select("query", "doc", "score", "rank").collect()
+            key = lambda r: (r[0] is None, r[0] or 0, r[3])
+            assert sorted(map(tuple, got), key=key) == sorted(map(tuple, want), key=key)
+    none = search.bm25_best(docs, "id", "text", queries.where("query > 99"), 3)
+    assert none.collect() == [] and search.bm25_best(docs.where("id > 999"), "id", "text", queries, 3).collect() == []
+
+
+def test_message_search_makes_no_pairs_of_messages(spark, monkeypatch):
+    monkeypatch.delattr(search, "bm25")
+    assert search.r10_r11_j2_message_search(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_message_search_takes_ids_apart_as_its_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(c, t, "assistant" if t % 2 else "user", f"red w{c} w{t % 7}") for c in range(0, 30) for t in (0, 1, 2, 3, 999, 1000, 1001, 1003)] + [(10, 1, "assistant", "red red w10"), (20, 3, "user", "w20"), (10, 0, "user", "red w10")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    columns = "query", "doc", "score", "n"  # ranks of equal ids are open
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({search.ORACLES['r10_r11_j2_message_search']})").fetchall()
+    assert sorted(map(tuple, search.r10_r11_j2_message_search(spark, str(tmp_path)).select(*columns).collect())) == sorted(want)
