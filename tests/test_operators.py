@@ -401,3 +401,8 @@ def test_message_search_takes_ids_apart_as_its_sql(spark, tmp_path):
     columns = "query", "doc", "score", "n"  # ranks of equal ids are open
     want = con.execute(f"SELECT {', '.join(columns)} FROM ({search.ORACLES['r10_r11_j2_message_search']})").fetchall()
     assert sorted(map(tuple, search.r10_r11_j2_message_search(spark, str(tmp_path)).select(*columns).collect())) == sorted(want)
+
+
+def test_bm25_makes_no_pairs_of_documents(spark, monkeypatch):
+    monkeypatch.delattr(search, "bm25")
+    assert search.r2_bm25(spark, "/root/testdata/sf0.001").count() > 0
