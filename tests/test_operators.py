@@ -406,3 +406,38 @@ def test_message_search_takes_ids_apart_as_its_sql(spark, tmp_path):
 def test_bm25_makes_no_pairs_of_documents(spark, monkeypatch):
     monkeypatch.delattr(search, "bm25")
     assert search.r2_bm25(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_subgraph_equals_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    name = lambda i: None if i == 19 else f"n{i}"
+    rows = [(name(a), name(b), t) for a, b, t in zip(rng.integers(0, 20, 90), rng.integers(0, 20, 90), rng.choice(["x", "y"], 90))] + [("n1", "n1", "x"), ("n1", "n2", "x"), ("n1", "n2", "x"), ("n1", "n2", None)]
+    rows += [(f"leaf{i}", "n1", "x") for i in range(30)] + [("n1", f"leaf{i}", "y") for i in range(5)]
+    edges = spark.createDataFrame(rows, "source string, target string, type string").repartition(3)
+    starts = ["n0", "n1", "n1", "n7", "leaf3", "nowhere"]
+    table = spark.createDataFrame([(s,) for s in starts], "start string")
+
+    def brute(hops, direction, types):
+        want, some = set(), {e for e in rows if types is None or e[2] in types}
+        for s in starts:
+            near = {s}
+            for _ in range(hops - 1):
+                near |= {b for a, b, _ in some if a in near and direction != "in"} | {a for a, b, _ in some if b in near and direction != "out"}
+                near.discard(None)
+            want |= {(s, *e) for e in some if e[0] in near and direction != "in" or e[1] in near and direction != "out"}
+        return want
+
+    for hops, direction, types in ((1, "both", None), (2, "both", None), (3, "both", ["x"]), (2, "in", None), (2, "out", None)):
+        want = brute(hops, direction, types)
+        for few, length in ((200_000, 16), (0, 1)) if direction == "both" else ((200_000, 16), (0, 16)):
+            monkeypatch.setattr(graphs, "BROADCAST_ROWS", few)
+            monkeypatch.setattr(graphs, "LIST", length)
+            got = list(map(tuple, graphs.subgraph(edges, table, hops, direction, types).select("start", "source", "target", "type").collect()))
+            assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_subgraph_does_not_compare_its_rows(spark):
+    df = graphs.gr3_j11_subgraph(spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # Only edges are made distinct, before they meet the starts.
+    assert plan.lstrip().startswith("Union") and "Aggregate [source#" in plan and "Aggregate [start" not in plan.split("Join")[0]
